@@ -4,15 +4,16 @@
 2. A linked partner holds all but a share of a set's shingles, so the first shingle that two linked sets have in
    common, in any fixed order, is among the first few of both. The order puts shingles rarest first by a table of
    counts over all documents; the table has a fixed size, and what it merges changes the order only. Classes that
-   share a leading shingle are routed to one cluster (connected components of that relation, in star form). This
-   loses no link at any size, and passages that many documents share come last in the order.
-3. In each cluster, blocks of a bounded number of classes are put into signature trees: every node has the OR of the
+   share a leading shingle are a group; groups of the same members are one. This loses no link at any size.
+3. In each group, blocks of a bounded number of classes are put into signature trees: every node has the OR of the
    token bitmaps below it, the least number of bits of one set and the range of set sizes. Two trees are traversed
    together; a pair of nodes is left when the largest possible overlap is under what their least sizes need, or when
-   all that stands below both is linked already. Pairs of sets at the leaves are compared exactly.
-4. Clusters of several blocks go on: neighbouring blocks first; then the sets outside the cluster's largest component
-   against all of its blocks. A cluster of near copies is one component after the first step, so the work grows with
-   its size; only a large cluster that stays in pieces needs all its block pairs.
+   all that stands below both is linked already. What the bitmaps can't part is one cluster.
+4. In each cluster the same trees are traversed with the sets themselves at the leaves, where pairs are compared exactly.
+
+Groups and clusters of several blocks go on after the blocks: neighbouring blocks first; then what is outside the
+largest component against all blocks. Near copies are one component after the first step, so the work grows with
+their number; only a large group that stays in pieces needs all its block pairs.
 
 Shingles and classes are told apart by 64-bit hashes.
 
@@ -39,13 +40,14 @@ from .graph import components
 BLOCK = 128
 LEAF = 8
 FAN = 4
-BITS = 2048
+#: A set of n shingles has a token bitmap of 4n to 8n bits, a power of two, of these at least and at most.
+LEAST_BITS, MOST_BITS = 512, 1 << 20
 #: Counters of the order, and slices of their table.
 COUNTERS, SLICES = 1 << 20, 16
 #: Leading shingles in one bucket, about.
 BUCKET = 1_000_000
-FOUND = "kind int, bucket int, doc_id long, no_id boolean, n long, fp long, sig binary, at binary, fps binary"
-ROUTED = "kind int, doc_id long, no_id boolean, n long, fp long"
+FOUND = "kind int, bucket int, doc_id long, no_id boolean, n long, fp long, bits binary, sig binary, at binary, fps binary"
+ROUTED = "kind int, doc_id long, no_id boolean, n long, fp long, bits binary"
 
 
 class _Words(dict):
@@ -136,8 +138,9 @@ def _scan(batches: Iterator[pd.DataFrame], words: int, per_cent: int, buckets: i
                 own = shingles(text, words)
                 fp = fingerprint(own)
                 turn += 1
-                rows.append((0, turn % buckets, doc, no_id, len(own), fp, None, None, None))
-                if len(own) and fp not in known:
+                new = len(own) > 0 and fp not in known
+                rows.append((0, turn % buckets, doc, no_id, len(own), fp, bitmap(own, width_of(len(own))).to_bytes(width_of(len(own)) // 8, "big") if new else None, None, None, None))
+                if new:
                     known.add(fp)
                     sets.append(own)
                     fps.append(fp)
@@ -153,22 +156,26 @@ def _scan(batches: Iterator[pd.DataFrame], words: int, per_cent: int, buckets: i
                 if bounds[b] < bounds[b + 1]:
                     own, place = sig[bounds[b] : bounds[b + 1]], at[bounds[b] : bounds[b + 1]]
                     used, local = np.unique(place, return_inverse=True)
-                    rows.append((1, b, 0, True, 0, 0, own.astype("<u8").tobytes(), local.astype("<u2").tobytes(), fps_array[used].tobytes()))
+                    rows.append((1, b, 0, True, 0, 0, None, own.astype("<u8").tobytes(), local.astype("<u2").tobytes(), fps_array[used].tobytes()))
             yield pd.DataFrame(rows, columns=columns)
 
 
-def _stars(sig: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Distinct (least class, other class) of the classes that share a signature."""
+def _members(sig: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Distinct (group, class) of the classes that share a signature; a group is named by what it holds."""
     order = np.lexsort((fp, sig))
     sig, fp = sig[order], fp[order]
-    head = np.concatenate([[True], sig[1:] != sig[:-1]])
-    least = fp[head][np.cumsum(head) - 1]
-    far = least != fp
-    return np.unique(np.stack([least[far], fp[far]], axis=1), axis=0)
+    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])])
+    sig, fp = sig[new], fp[new]
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    counts = np.diff(np.concatenate([starts, [len(sig)]]))
+    with np.errstate(over="ignore"):
+        names = mix64(np.add.reduceat(mix64(fp.view(np.uint64)), starts) + counts.astype(np.uint64)).view(np.int64)
+    shared = np.repeat(counts > 1, counts)
+    return np.unique(np.stack([np.repeat(names, counts)[shared], fp[shared]], axis=1), axis=0)
 
 
 def _route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Passes the documents through and turns each bucket's signatures into star edges (n: one end, fp: the other)."""
+    """Passes the documents through and turns each bucket's signatures into groups (n: the group, fp: a class)."""
     held: dict[int, list] = {}
     columns = [c.split()[0] for c in ROUTED.split(", ")]
     for batch in batches:
@@ -182,10 +189,10 @@ def _route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blobs = held.pop(b)
         sig = np.concatenate([np.frombuffer(x, dtype="<u8") for x, _, _ in blobs])
         fp = np.concatenate([np.frombuffer(z, dtype=np.int64)[np.frombuffer(y, dtype="<u2")] for _, y, z in blobs])
-        edges = _stars(sig, fp)
+        edges = _members(sig, fp)
         for k in range(0, len(edges), 50_000):
             part = edges[k : k + 50_000]
-            yield pd.DataFrame({"kind": 1, "doc_id": 0, "no_id": True, "n": part[:, 0], "fp": part[:, 1]})
+            yield pd.DataFrame({"kind": 1, "doc_id": 0, "no_id": True, "n": part[:, 0], "fp": part[:, 1], "bits": None})
 
 
 # --- signature trees ---
@@ -198,23 +205,60 @@ class Node:
         self.bits, self.fewest, self.least, self.most, self.below, self.items = bits, fewest, least, most, below, items
 
 
-def bitmap(own: np.ndarray) -> int:
-    """BITS bits as one integer: bit h mod BITS of each shingle."""
-    flags = np.zeros(BITS, dtype=np.uint8)
-    flags[(own % np.uint64(BITS)).astype(np.int64)] = 1
-    return int.from_bytes(np.packbits(flags).tobytes(), "big")
+def width_of(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (4 * n - 1).bit_length()))
+
+
+def bitmap(own: np.ndarray, width: int) -> int:
+    """width bits (a power of two) as one integer: bit h mod width of each shingle."""
+    flags = np.zeros(width, dtype=np.uint8)
+    flags[(own & np.uint64(width - 1)).astype(np.int64)] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
 
+def folded(bits: int, width: int, to: int) -> int:
+    """The bitmap of the same set with fewer bits."""
+    while width > to:
+        width //= 2
+        bits = (bits >> width) | (bits & ((1 << width) - 1))
+    return bits
 
-def tree(items: list[int], sets: list[np.ndarray], maps: list[int]) -> Node:
-    """Leaves of LEAF sets, neighbours by size and least shingle; nodes of FAN nodes."""
-    items = sorted(items, key=lambda k: (len(sets[k]), int(sets[k][0])))
+
+class Items:
+    """Sizes, bitmaps of one width and, for exact comparison, the sets of what a task holds."""
+
+    def __init__(self, run: pd.DataFrame, exact: bool):
+        self.sizes = run["n"].tolist()
+        self.sets = [np.frombuffer(x, dtype=np.uint64) for x in run["own"]] if exact else None
+        if exact:
+            width = width_of(min(self.sizes))
+            self.maps = [bitmap(x, width) for x in self.sets]
+        else:
+            widths = [8 * len(x) for x in run["own"]]
+            self.maps = [folded(int.from_bytes(x, "big"), w, min(widths)) for x, w in zip(run["own"], widths, strict=True)]
+        self.fewest = [x.bit_count() for x in self.maps]
+
+    def linked(self, a: int, b: int, per_cent: int) -> bool:
+        """Whether two sets link; without the sets: whether their bitmaps allow it."""
+        m, n = self.sizes[a], self.sizes[b]
+        if 100 * min(m, n) < per_cent * max(m, n):
+            return False
+        need = -(-per_cent * (m + n) // (100 + per_cent))
+        if possible((self.maps[a] & self.maps[b]).bit_count(), self.fewest[a], m, self.fewest[b], n) < need:
+            return False
+        return self.sets is None or m + n - len(np.union1d(self.sets[a], self.sets[b])) >= need
+
+
+def tree(members: list[int], items: Items) -> Node:
+    """Leaves of LEAF sets, neighbours by size and bitmap; nodes of FAN nodes."""
+    members = sorted(members, key=lambda k: (items.sizes[k], items.maps[k]))
     level = []
-    for at in range(0, len(items), LEAF):
-        own = items[at : at + LEAF]
+    for at in range(0, len(members), LEAF):
+        own = members[at : at + LEAF]
         bits = 0
         for k in own:
-            bits |= maps[k]
-        level.append(Node(bits, min(maps[k].bit_count() for k in own), len(sets[own[0]]), len(sets[own[-1]]), None, own))
+            bits |= items.maps[k]
+        level.append(Node(bits, min(items.fewest[k] for k in own), items.sizes[own[0]], items.sizes[own[-1]], None, own))
     while len(level) > 1:
         up = []
         for at in range(0, len(level), FAN):
@@ -251,7 +295,7 @@ def possible(bits: int, fewest_a: int, most_a: int, fewest_b: int, most_b: int)
     return min(most_a - max(0, fewest_a - bits), most_b - max(0, fewest_b - bits))
 
 
-def traverse(p: Node, q: Node, sets, maps, labels, links: Links, per_cent: int) -> None:
+def traverse(p: Node, q: Node, items: Items, labels, links: Links, per_cent: int) -> None:
     """Links between what stands below p and below q (p may be q)."""
     todo = [(p, q)]
     while todo:
@@ -267,14 +311,7 @@ def traverse(p: Node, q: Node, sets, maps, labels, links: Links, per_cent: int)
         if p.below is None and q.below is None:
             for i, a in enumerate(p.items):
                 for b in p.items[i + 1 :] if p is q else q.items:
-                    m, n = len(sets[a]), len(sets[b])
-                    if 100 * min(m, n) < per_cent * max(m, n) or links.root(labels[a]) == links.root(labels[b]):
-                        continue
-                    need = -(-per_cent * (m + n) // (100 + per_cent))
-                    if possible((maps[a] & maps[b]).bit_count(), maps[a].bit_count(), m, maps[b].bit_count(), n) < need:
-                        continue
-                    both = m + n - len(np.union1d(sets[a], sets[b]))
-                    if 100 * both >= per_cent * (m + n - both):
+                    if links.root(labels[a]) != links.root(labels[b]) and items.linked(a, b, per_cent):
                         links.join(labels[a], labels[b])
         elif p is q:
             todo += [(x, y) for i, x in enumerate(p.below) for y in p.below[i:]]
@@ -303,30 +340,39 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(held)
 
 
-def _within(batches: Iterator[pd.DataFrame], per_cent: int) -> Iterator[pd.DataFrame]:
-    """(fp, label) of each block: its links are those of one tree with itself."""
+LOCAL = "fp long, label long, n long, root long, blocks long, block long, own binary"
+
+
+def _within(batches: Iterator[pd.DataFrame], per_cent: int, exact: bool) -> Iterator[pd.DataFrame]:
+    """Every class of a block with a label: its links are those of one tree with itself."""
+    columns = [c.split()[0] for c in LOCAL.split(", ")]
+    held, size = [], 0
     for run in _groups(batches, ["root", "block"]):
         run = run.drop_duplicates("fp")
         labels = run["fp"].tolist()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in run["own"]]
-        maps = [bitmap(x) for x in sets]
         links = Links(labels)
-        top = tree(list(range(len(sets))), sets, maps)
-        traverse(top, top, sets, maps, labels, links, per_cent)
-        yield pd.DataFrame({"fp": labels, "label": [links.root(x) for x in labels], "root": run["root"].to_numpy(), "blocks": run["blocks"].to_numpy(), "own": run["own"].where(run["blocks"] > 1, None).to_numpy(), "block": run["block"].to_numpy()})
+        if len(labels) > 1:
+            items = Items(run, exact)
+            top = tree(list(range(len(labels))), items)
+            traverse(top, top, items, labels, links, per_cent)
+        held.append(run.assign(label=[links.root(x) for x in labels], own=run["own"].where(run["blocks"] > 1, None))[columns])
+        size += len(run)
+        if size > 2000:
+            yield pd.concat(held)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held)
 
 
-def _across(batches: Iterator[pd.DataFrame], per_cent: int) -> Iterator[pd.DataFrame]:
+def _across(batches: Iterator[pd.DataFrame], per_cent: int, exact: bool) -> Iterator[pd.DataFrame]:
     """(a, b): labels linked by sets of side 0 and side 1."""
     for run in _groups(batches, ["root", "i", "j"]):
         labels = run["label"].tolist()
         sides = run["side"].tolist()
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in run["own"]]
-        maps = [bitmap(x) for x in sets]
         left, right = ([k for k, s in enumerate(sides) if s == side] for side in (0, 1))
         if left and right:
-            links = Links(labels)
-            traverse(tree(left, sets, maps), tree(right, sets, maps), sets, maps, labels, links, per_cent)
+            items, links = Items(run, exact), Links(labels)
+            traverse(tree(left, items), tree(right, items), items, labels, links, per_cent)
             if links.found:
                 yield pd.DataFrame(links.found, columns=["a", "b"])
 
@@ -335,19 +381,19 @@ def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]
     for batch in batches:
         own = [shingles(x, words) for x in batch["text"]]
         same = [fingerprint(x) == fp if len(x) else False for x, fp in zip(own, batch["fp"], strict=True)]
-        out = batch[["root", "blocks", "block", "fp"]].assign(own=[x.tobytes() for x in own])
+        out = batch[["root", "blocks", "block", "fp"]].assign(n=[len(x) for x in own], own=[x.tobytes() for x in own])
         yield out[np.array(same, dtype=bool)]
 
 
-def _linked(blocks: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """(fp, label) of every class in a cluster; equal labels: reachable by links."""
+def _linked(blocks: DataFrame, width: int, per_cent: int, exact: bool) -> DataFrame:
+    """(root, fp, label) of blocks (root, blocks, block, fp, n, own); equal labels in a root: reachable by links."""
     dealt = blocks.repartition(width, "root", "block").sortWithinPartitions("root", "block")
-    local = durable(dealt.mapInPandas(lambda x: _within(x, per_cent), "fp long, label long, root long, blocks long, own binary, block long"))
+    local = durable(dealt.mapInPandas(lambda x: _within(x, per_cent, exact), LOCAL))
     large = local.where("blocks > 1")
     if large.isEmpty():
-        return local.select("fp", "label")
-    across = lambda pairs: pairs.repartition(width, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(lambda x: _across(x, per_cent), "a long, b long")
-    side = lambda rows, s, i, j: rows.select("root", F.lit(s).alias("side"), i.alias("i"), j.alias("j"), "label", "own")
+        return local.select("root", "fp", "label")
+    across = lambda pairs: pairs.repartition(width, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(lambda x: _across(x, per_cent, exact), "a long, b long")
+    side = lambda rows, s, i, j: rows.select("root", F.lit(s).alias("side"), i.alias("i"), j.alias("j"), "label", "n", "own")
     # Neighbouring blocks.
     chain = side(large.where("block < blocks - 1"), 0, F.col("block"), F.col("block") + 1).unionByName(side(large.where("block > 0"), 1, F.col("block") - 1, F.col("block")))
     edges = durable(across(chain))
@@ -366,7 +412,25 @@ def _linked(blocks: DataFrame, width: int, per_cent: int) -> DataFrame:
         pairs = side(asking, 0, F.col("i"), F.col("j")).unionByName(side(asked, 1, F.col("i"), F.col("j")))
         last = durable(across(pairs))
         large = relabel(large, components(last))
-    return local.where("blocks = 1").select("fp", "label").unionByName(large.select("fp", "label"))
+    return local.where("blocks = 1").select("root", "fp", "label").unionByName(large.select("root", "fp", "label"))
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """rows of a root with their block and the root's number of blocks; roots of one row are left."""
+    sizes = rows.groupBy("root").agg(F.count("*").alias("held")).where("held > 1").select("root", F.ceil(F.col("held") / BLOCK).cast("long").alias("blocks"))
+    return rows.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+
+
+def _candidates(members: DataFrame, maps: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Edges (a, b) whose components hold every link: what the bitmaps of a group's trees can't part.
+
+    A group is split by the width of its bitmaps; a set also goes to the next width if it may link with one there.
+    """
+    bits = F.octet_length("own").cast("long") * 8
+    reaches = 100 * F.col("n") >= per_cent * (F.floor(bits / 4) + 1)  # the least size that has twice the bits
+    tags = F.when(reaches, F.array(bits, bits * 2)).otherwise(F.array(bits))
+    tagged = members.join(maps, "fp").withColumn("tag", F.explode(tags)).withColumn("root", F.xxhash64("name", "tag")).select("root", "fp", "n", "own")
+    return _linked(_blocked(tagged), width, per_cent, False).where("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
@@ -382,13 +446,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> D
     scanned = rows.mapInPandas(lambda x: _scan(x, words, per_cent, buckets, rare), FOUND)
     found = durable(scanned.repartition(buckets, "bucket").mapInPandas(_route, ROUTED))
     perdoc = found.where("kind = 0").select(own_id(), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
-    clusters = durable(components(found.where("kind = 1").select(F.col("n").alias("a"), F.col("fp").alias("b"))))
+    members = found.where("kind = 1").select(F.col("n").alias("name"), "fp").distinct()
+    maps = found.where("bits is not null").groupBy("fp").agg(F.max("n").alias("n"), F.max("bits").alias("own"))
+    clusters = durable(components(_candidates(members, maps, width, per_cent)))
     firsts = perdoc.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    wanted = clusters.select(F.col("node").alias("fp"), "root").join(sizes, "root").join(firsts, "fp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    wanted = _blocked(clusters.select(F.col("node").alias("fp"), "root")).join(firsts, "fp")
     texts = rows.select(own_id().alias("own"), "text").join(wanted, F.col("own").eqNullSafe(F.col("first")))
-    blocks = texts.select("root", "blocks", "block", "fp", "text").mapInPandas(lambda x: _sets(x, words), "root long, blocks long, block long, fp long, own binary")
-    linked = _linked(blocks, width, per_cent)
+    blocks = texts.select("root", "blocks", "block", "fp", "text").mapInPandas(lambda x: _sets(x, words), "root long, blocks long, block long, fp long, n long, own binary")
+    linked = _linked(blocks, width, per_cent, True).select("fp", "label")
     labelled = firsts.join(linked, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     by_class = labelled.join(smallest, "label").select("fp", "component_id")

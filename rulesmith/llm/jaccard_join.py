@@ -4,7 +4,7 @@
 2. A linked partner holds all but a share of a set's shingles, so the first shingle that two linked sets have in
    common, in any fixed order, is among the first few of both. The order puts shingles rarest first by a table of
    counts over all documents; the table has a fixed size, and what it merges changes the order only. Classes that
-   share a leading shingle are a group; groups of the same members are one. This loses no link at any size.
+   share a leading shingle and are near in size are a group; groups of the same members are one. This loses no link.
 3. In each group, blocks of a bounded number of classes are put into signature trees: every node has the OR of the
    token bitmaps below it, the least number of bits of one set and the range of set sizes. Two trees are traversed
    together; a pair of nodes is left when the largest possible overlap is under what their least sizes need, or when
@@ -46,7 +46,7 @@ LEAST_BITS, MOST_BITS = 512, 1 << 20
 COUNTERS, SLICES = 1 << 20, 16
 #: Leading shingles in one bucket, about.
 BUCKET = 1_000_000
-FOUND = "kind int, bucket int, doc_id long, no_id boolean, n long, fp long, bits binary, sig binary, at binary, fps binary"
+FOUND = "kind int, bucket int, doc_id long, no_id boolean, n long, fp long, bits binary, sig binary, at binary, fps binary, sizes binary"
 ROUTED = "kind int, doc_id long, no_id boolean, n long, fp long, bits binary"
 
 
@@ -139,14 +139,14 @@ def _scan(batches: Iterator[pd.DataFrame], words: int, per_cent: int, buckets: i
                 fp = fingerprint(own)
                 turn += 1
                 new = len(own) > 0 and fp not in known
-                rows.append((0, turn % buckets, doc, no_id, len(own), fp, bitmap(own, width_of(len(own))).to_bytes(width_of(len(own)) // 8, "big") if new else None, None, None, None))
+                rows.append((0, turn % buckets, doc, no_id, len(own), fp, bitmap(own, width_of(len(own))).to_bytes(width_of(len(own)) // 8, "big") if new else None, None, None, None, None))
                 if new:
                     known.add(fp)
                     sets.append(own)
                     fps.append(fp)
             if len(known) > 1_000_000:  # copies of forgotten classes are signed again, to the same end
                 known.clear()
-            fps_array = np.array(fps, dtype=np.int64)
+            fps_array, sizes = np.array(fps, dtype=np.int64), np.array([len(x) for x in sets], dtype="<i4")
             sig, at = _signatures(sets, per_cent, rare)
             bucket = mix64(sig) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -156,25 +156,44 @@ def _scan(batches: Iterator[pd.DataFrame], words: int, per_cent: int, buckets: i
                 if bounds[b] < bounds[b + 1]:
                     own, place = sig[bounds[b] : bounds[b + 1]], at[bounds[b] : bounds[b + 1]]
                     used, local = np.unique(place, return_inverse=True)
-                    rows.append((1, b, 0, True, 0, 0, None, own.astype("<u8").tobytes(), local.astype("<u2").tobytes(), fps_array[used].tobytes()))
+                    rows.append((1, b, 0, True, 0, 0, None, own.astype("<u8").tobytes(), local.astype("<u2").tobytes(), fps_array[used].tobytes(), sizes[used].tobytes()))
             yield pd.DataFrame(rows, columns=columns)
 
 
-def _members(sig: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Distinct (group, class) of the classes that share a signature; a group is named by what it holds."""
-    order = np.lexsort((fp, sig))
-    sig, fp = sig[order], fp[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])])
-    sig, fp = sig[new], fp[new]
-    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    counts = np.diff(np.concatenate([starts, [len(sig)]]))
+def first_sizes(per_cent: int, most: int) -> np.ndarray:
+    """First sizes of intervals: a set's partners are in its own interval and the two beside it."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(100 * out[-1] // per_cent + 1)
+    return np.array(out)
+
+
+def _members(sig: np.ndarray, fp: np.ndarray, size: np.ndarray, per_cent: int) -> np.ndarray:
+    """Distinct (group, class) of the classes that share a signature and may link by their sizes.
+
+    A group holds the sets of one interval of sizes and of the interval before; one without a set of the later interval is
+    left, as the interval before has it. A group is named by what it holds.
+    """
+    if not len(sig):
+        return np.empty((0, 2), dtype=np.int64)
+    own = np.searchsorted(first_sizes(per_cent, int(size.max())), size, "right") - 1
+    tag = np.concatenate([own, own + 1]).astype(np.uint64)
+    late = np.concatenate([np.ones(len(own), dtype=bool), np.zeros(len(own), dtype=bool)])
+    key = mix64(np.concatenate([sig, sig]) ^ mix64(tag + np.uint64(1)))
+    fp = np.concatenate([fp, fp])
+    order = np.lexsort((fp, key))
+    key, fp, late = key[order], fp[order], late[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])
+    key, fp, late = key[new], fp[new], late[new]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    counts = np.diff(np.concatenate([starts, [len(key)]]))
     with np.errstate(over="ignore"):
         names = mix64(np.add.reduceat(mix64(fp.view(np.uint64)), starts) + counts.astype(np.uint64)).view(np.int64)
-    shared = np.repeat(counts > 1, counts)
+    shared = np.repeat((counts > 1) & np.logical_or.reduceat(late, starts), counts)
     return np.unique(np.stack([np.repeat(names, counts)[shared], fp[shared]], axis=1), axis=0)
 
 
-def _route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _route(batches: Iterator[pd.DataFrame], per_cent: int) -> Iterator[pd.DataFrame]:
     """Passes the documents through and turns each bucket's signatures into groups (n: the group, fp: a class)."""
     held: dict[int, list] = {}
     columns = [c.split()[0] for c in ROUTED.split(", ")]
@@ -183,13 +202,14 @@ def _route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(docs):
             yield docs[columns]
         rest = batch[batch["kind"] == 1]
-        for b, *blobs in zip(rest["bucket"], rest["sig"], rest["at"], rest["fps"], strict=True):
+        for b, *blobs in zip(rest["bucket"], rest["sig"], rest["at"], rest["fps"], rest["sizes"], strict=True):
             held.setdefault(b, []).append(blobs)
     for b in list(held):
         blobs = held.pop(b)
-        sig = np.concatenate([np.frombuffer(x, dtype="<u8") for x, _, _ in blobs])
-        fp = np.concatenate([np.frombuffer(z, dtype=np.int64)[np.frombuffer(y, dtype="<u2")] for _, y, z in blobs])
-        edges = _members(sig, fp)
+        sig = np.concatenate([np.frombuffer(x, dtype="<u8") for x, *_ in blobs])
+        fp = np.concatenate([np.frombuffer(z, dtype=np.int64)[np.frombuffer(y, dtype="<u2")] for _, y, z, _ in blobs])
+        size = np.concatenate([np.frombuffer(z, dtype="<i4")[np.frombuffer(y, dtype="<u2")] for _, y, _, z in blobs])
+        edges = _members(sig, fp, size, per_cent)
         for k in range(0, len(edges), 50_000):
             part = edges[k : k + 50_000]
             yield pd.DataFrame({"kind": 1, "doc_id": 0, "no_id": True, "n": part[:, 0], "fp": part[:, 1], "bits": None})
@@ -422,15 +442,9 @@ def _blocked(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(members: DataFrame, maps: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """Edges (a, b) whose components hold every link: what the bitmaps of a group's trees can't part.
-
-    A group is split by the width of its bitmaps; a set also goes to the next width if it may link with one there.
-    """
-    bits = F.octet_length("own").cast("long") * 8
-    reaches = 100 * F.col("n") >= per_cent * (F.floor(bits / 4) + 1)  # the least size that has twice the bits
-    tags = F.when(reaches, F.array(bits, bits * 2)).otherwise(F.array(bits))
-    tagged = members.join(maps, "fp").withColumn("tag", F.explode(tags)).withColumn("root", F.xxhash64("name", "tag")).select("root", "fp", "n", "own")
-    return _linked(_blocked(tagged), width, per_cent, False).where("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b")).distinct()
+    """Edges (a, b) whose components hold every link: what the bitmaps of a group's trees can't part."""
+    grouped = members.join(maps, "fp").select(F.col("name").alias("root"), "fp", "n", "own")
+    return _linked(_blocked(grouped), width, per_cent, False).where("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
@@ -444,7 +458,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> D
     buckets = int(max(width, size / 6 * (100 - per_cent) / 100 // BUCKET))
     rare = rarity(rows, words)
     scanned = rows.mapInPandas(lambda x: _scan(x, words, per_cent, buckets, rare), FOUND)
-    found = durable(scanned.repartition(buckets, "bucket").mapInPandas(_route, ROUTED))
+    found = durable(scanned.repartition(buckets, "bucket").mapInPandas(lambda x: _route(x, per_cent), ROUTED))
     perdoc = found.where("kind = 0").select(own_id(), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
     members = found.where("kind = 1").select(F.col("n").alias("name"), "fp").distinct()
     maps = found.where("bits is not null").groupBy("fp").agg(F.max("n").alias("n"), F.max("bits").alias("own"))

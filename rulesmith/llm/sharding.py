@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELL_ROWS = 100_000
-MAX_CELLS = 1024
+CELL_ROWS = 5000
+MAX_CELLS = 4096
 
 
 def cells(total: int, shards: int, cell_rows: int = CELL_ROWS, least: int = 1) -> np.ndarray:

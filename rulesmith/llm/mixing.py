@@ -25,8 +25,8 @@ from .common import WORD, durable
 
 MAX_EPOCHS = 3
 #: Rows of one hash range of a source, about.
-RANGE_ROWS = 20_000
-MAX_RANGES = 4096
+RANGE_ROWS = 1000
+MAX_RANGES = 65536
 #: Weight schedules by place of the source, repeating: weight at the start and at the end of training, of mean 1.
 SCHEDULES = ((1.0, 1.0), (1.5, 0.5), (0.5, 1.5))
 

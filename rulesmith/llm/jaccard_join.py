@@ -247,8 +247,8 @@ def folded(bits: int, width: int, to: int) -> int:
 class Items:
     """Sizes, bitmaps of one width and, for exact comparison, the sets of what a task holds."""
 
-    def __init__(self, run: pd.DataFrame, exact: bool):
-        self.sizes = run["n"].tolist()
+    def __init__(self, run: dict[str, list], exact: bool):
+        self.sizes = run["n"]
         self.sets = [np.frombuffer(x, dtype=np.uint64) for x in run["own"]] if exact else None
         if exact:
             width = width_of(min(self.sizes))
@@ -341,23 +341,36 @@ def traverse(p: Node, q: Node, items: Items, labels, links: Links, per_cent: int
             todo += [(p, x) for x in q.below]
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys in sorted input; holds one run."""
-    held: list[pd.DataFrame] = []
-    last = None
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, list]]:
+    """Runs of equal keys in sorted input, as lists by column; holds one batch and one run."""
+    held: dict[str, list] | None = None
     for batch in batches:
-        if not len(batch):
+        n = len(batch)
+        if not n:
             continue
-        same = (batch[keys] != batch[keys].shift()).any(axis=1).cumsum()
-        for _, run in batch.groupby(same, sort=False):
-            key = tuple(run[keys].iloc[0])
-            if key != last and held:
-                yield pd.concat(held)
-                held = []
-            last = key
-            held.append(run)
-    if held:
-        yield pd.concat(held)
+        columns = {c: batch[c].tolist() for c in batch.columns}
+        change = np.zeros(n, dtype=bool)
+        for c in keys:
+            x = batch[c].to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        bounds = [0, *np.flatnonzero(change).tolist(), n]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            run = {c: x[a:b] for c, x in columns.items()}
+            if held is not None and all(held[c][-1] == run[c][0] for c in keys):
+                held = {c: held[c] + run[c] for c in run}
+                continue
+            if held is not None:
+                yield held
+            held = run
+    if held is not None:
+        yield held
+
+
+def _once(run: dict[str, list]) -> dict[str, list]:
+    """The first row of each class."""
+    seen: set[int] = set()
+    keep = [k for k, x in enumerate(run["fp"]) if not (x in seen or seen.add(x))]
+    return run if len(keep) == len(run["fp"]) else {c: [x[k] for k in keep] for c, x in run.items()}
 
 
 LOCAL = "fp long, label long, n long, root long, blocks long, block long, own binary"
@@ -366,29 +379,30 @@ LOCAL = "fp long, label long, n long, root long, blocks long, block long, own bi
 def _within(batches: Iterator[pd.DataFrame], per_cent: int, exact: bool) -> Iterator[pd.DataFrame]:
     """Every class of a block with a label: its links are those of one tree with itself."""
     columns = [c.split()[0] for c in LOCAL.split(", ")]
-    held, size = [], 0
+    held: dict[str, list] = {c: [] for c in columns}
     for run in _groups(batches, ["root", "block"]):
-        run = run.drop_duplicates("fp")
-        labels = run["fp"].tolist()
+        run = _once(run)
+        labels = run["fp"]
         links = Links(labels)
         if len(labels) > 1:
             items = Items(run, exact)
             top = tree(list(range(len(labels))), items)
             traverse(top, top, items, labels, links, per_cent)
-        held.append(run.assign(label=[links.root(x) for x in labels], own=run["own"].where(run["blocks"] > 1, None))[columns])
-        size += len(run)
-        if size > 2000:
-            yield pd.concat(held)
-            held, size = [], 0
-    if held:
-        yield pd.concat(held)
+        run["label"] = [links.root(x) for x in labels]
+        run["own"] = [x if n > 1 else None for x, n in zip(run["own"], run["blocks"], strict=True)]
+        for c in columns:
+            held[c] += run[c]
+        if len(held["fp"]) > 2000:
+            yield pd.DataFrame(held)
+            held = {c: [] for c in columns}
+    if held["fp"]:
+        yield pd.DataFrame(held)
 
 
 def _across(batches: Iterator[pd.DataFrame], per_cent: int, exact: bool) -> Iterator[pd.DataFrame]:
     """(a, b): labels linked by sets of side 0 and side 1."""
     for run in _groups(batches, ["root", "i", "j"]):
-        labels = run["label"].tolist()
-        sides = run["side"].tolist()
+        labels, sides = run["label"], run["side"]
         left, right = ([k for k, s in enumerate(sides) if s == side] for side in (0, 1))
         if left and right:
             items, links = Items(run, exact), Links(labels)

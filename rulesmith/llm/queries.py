@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, licenses, mixing, packing, quality, secrets, sharding, toxicity
+from . import jaccard_join, licenses, media, mixing, packing, quality, secrets, sharding, token_counts, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +19,17 @@ def _of(op, *tables: str) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_packing": _of(packing.op1, "documents"),
     "op2_jaccard_join": _of(jaccard_join.op2, "documents"),
+    "op3_media": _of(media.op3, "embeddings"),
     "op4_toxicity": _of(toxicity.op4, "documents", "labels"),
     "op5_sharding": _of(sharding.op5, "documents"),
     "op6_mixing": _of(mixing.op6, "documents"),
+    "op7_token_counts": _of(token_counts.op7, "documents"),
     "op8_secrets": _of(secrets.op8, "documents"),
     "op9_quality": _of(quality.op9, "documents"),
     "op10_licenses": _of(licenses.op10, "documents"),
 }
 
+WORD_LIST = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LICENSE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {}

@@ -22,11 +22,11 @@ def squares(df: DataFrame, sets: Iterable[frozenset[str]]) -> dict[frozenset[str
         part = sets[at : at + BATCH]
         columns = sorted(set().union(*part))
         own = df.select(*[F.when(not_blank(F.col(c)), F.col(c)).alias(c) for c in columns])
-        grouped = own.groupingSets([[F.col(c) for c in sorted(s)] for s in part], *[F.col(c) for c in columns]).agg(F.count("*").alias("c"), F.grouping_id(*columns).alias("gid"), *[F.grouping(c).alias(f"g_{c}") for c in columns])
+        grouped = own.groupingSets([[F.col(c) for c in sorted(s)] for s in part], *[F.col(c) for c in columns]).agg(F.count("*").alias("__c"), F.grouping_id(*columns).alias("__gid"), *[F.grouping(c).alias(f"__g_{c}") for c in columns])
         for c in columns:
-            grouped = grouped.where((F.col(f"g_{c}") == 1) | F.col(c).isNotNull())
-        total = F.sum(F.col("c").cast("decimal(38,0)") * F.col("c"))
-        found = {r["gid"]: int(r["f"]) for r in grouped.groupBy("gid").agg(total.alias("f")).collect()}  # one number for each set
+            grouped = grouped.where((F.col(f"__g_{c}") == 1) | F.col(c).isNotNull())
+        total = F.sum(F.col("__c").cast("decimal(38,0)") * F.col("__c"))
+        found = {r["__gid"]: int(r["f"]) for r in grouped.groupBy("__gid").agg(total.alias("f")).collect()}  # one number for each set
         for s in part:
             gid = sum((c not in s) << (len(columns) - 1 - k) for k, c in enumerate(columns))
             out[s] = found.get(gid, 0)
@@ -39,9 +39,9 @@ def pair_counts(df: DataFrame, lhs: list[str], rhs: str, where: Column | None =
     ok = rows
     for c in lhs:
         ok = ok.where(not_blank(F.col(c)))
-    fine = ok.groupBy(*lhs, rhs).agg(F.count("*").alias("c"))
-    by_x = fine.groupBy(*lhs).agg(F.sum("c").alias("cx"), F.sum(F.when(not_blank(F.col(rhs)), F.col("c") * F.col("c")).otherwise(0)).alias("cxy"))
-    sums = by_x.agg(F.coalesce(F.sum(F.col("cx") * F.col("cx")), F.lit(0)).cast("long").alias("xsupp"), F.coalesce(F.sum("cxy"), F.lit(0)).cast("long").alias("xysupp"))
+    fine = ok.groupBy(*lhs, rhs).agg(F.count("*").alias("__c"))
+    by_x = fine.groupBy(*lhs).agg(F.sum("__c").alias("__cx"), F.sum(F.when(not_blank(F.col(rhs)), F.col("__c") * F.col("__c")).otherwise(0)).alias("__cxy"))
+    sums = by_x.agg(F.coalesce(F.sum(F.col("__cx") * F.col("__cx")), F.lit(0)).cast("long").alias("xsupp"), F.coalesce(F.sum("__cxy"), F.lit(0)).cast("long").alias("xysupp"))
     return sums.crossJoin(rows.agg(F.count("*").alias("n"))).select("n", "xsupp", "xysupp", ratio("xysupp", F.col("n").cast("double") * F.col("n")).alias("support"), ratio("xysupp", F.col("xsupp")).alias("confidence"))
 
 
@@ -51,8 +51,8 @@ def ratio(top: str, bottom: Column) -> Column:
 
 def violations(df: DataFrame, lhs: list[str], rhs: str) -> DataFrame:
     """(lhs, pairs): pairs of rows that agree on lhs and differ on rhs, by group, from counts alone."""
-    fine = df.groupBy(*lhs, rhs).agg(F.count("*").alias("c"))
-    return fine.groupBy(*lhs).agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs")).where("pairs > 0")
+    fine = df.groupBy(*lhs, rhs).agg(F.count("*").alias("__c"))
+    return fine.groupBy(*lhs).agg((F.sum("__c") * F.sum("__c") - F.sum(F.col("__c") * F.col("__c"))).alias("pairs")).where("pairs > 0")
 
 
 def layer(df: DataFrame, columns: list[str], size: int) -> list[tuple[tuple[str, ...], str, int, int]]:

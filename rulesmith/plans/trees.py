@@ -35,11 +35,13 @@ def grow(df: DataFrame, features: list[str], label: str, max_depth: int = MAX_DE
     total = {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}
     leaves, root = {0: Leaf([], total)}, sum(total.values())
     open_, ended = [0], []
-    value = {}
+    value, binned = {}, set()
     for c in features:
         lo, hi = ranges[f"lo_{c}"], ranges[f"hi_{c}"]
         step = (hi - lo) / BINS if lo is not None and hi > lo else 0
-        value[c] = F.col(c) if not step or ranges[f"d_{c}"] <= BINS else F.floor((F.col(c) - lo) / step) * step + lo
+        if step and ranges[f"d_{c}"] > BINS:
+            binned.add(c)
+        value[c] = F.floor((F.col(c) - lo) / step) * step + lo if c in binned else F.col(c)
     for _ in range(max_depth):
         if not open_:
             break
@@ -63,7 +65,7 @@ def grow(df: DataFrame, features: list[str], label: str, max_depth: int = MAX_DE
                     if min(nl, nr) < max(MIN_ROWS, MIN_RATE * root):
                         continue
                     gain = (_entropy(every.values()) * (nl + nr) - _entropy(left.values()) * nl - _entropy(right.values()) * nr) / root
-                    cut = (a + b) / 2 if value[c] is F.col(c) else b
+                    cut = b if c in binned else (a + b) / 2
                     if gain > best.get(leaf, (MIN_GAIN,))[0]:
                         best[leaf] = (gain, c, cut)
         move = F.when(~F.col("__leaf").isin(list(best) or [-1]), F.col("__leaf"))

@@ -31,7 +31,9 @@ MOST_DIFFERENT, LEAST_AGREE, SHIFT_BIN, TURN_BIN = 24, 4, 8.0, 30.0
 #: The tests: pairs of places around a corner, from a rule.
 _TESTS = np.clip(np.random.default_rng(256).normal(0, 4.5, (BITS, 2, 2)), -RADIUS * 0.68, RADIUS * 0.68)
 _disc = np.add.outer(np.arange(-7, 8) ** 2, np.arange(-7, 8) ** 2) <= 49
-FEATURES = "image_id long, x double, y double, scale double, angle double, bits array<long>"
+#: A corner as kept: place in quarter pixels, number of the scale, angle in degrees, tests.
+CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("scale", "u1"), ("angle", "<i2"), ("bits", "u1", (BITS // 8,))])
+FEATURES = "class_id long, corners binary"
 
 
 def _smooth(a: np.ndarray, r: int) -> np.ndarray:
@@ -50,10 +52,10 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     return a[i, j] * (1 - u) * (1 - v) + a[i + 1, j] * u * (1 - v) + a[i, j + 1] * (1 - u) * v + a[i + 1, j + 1] * u * v
 
 
-def describe(image: np.ndarray) -> list[tuple[float, float, float, float, list[int]]]:
-    """(x, y, scale, angle, bits as 32-bit numbers) of an image's corners, places in the image's own pixels."""
+def describe(image: np.ndarray) -> np.ndarray:
+    """The corners of an image, as CORNER; places are in the image's own pixels."""
     out = []
-    for scale in SCALES:
+    for level, scale in enumerate(SCALES):
         a = image.astype(float) if scale == 1 else _resized(image.astype(float), scale)
         if min(a.shape) < 2 * RADIUS + 4:
             continue
@@ -74,57 +76,99 @@ def describe(image: np.ndarray) -> list[tuple[float, float, float, float, list[i
             turn = np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
             at = np.rint(_TESTS @ turn).astype(int)
             bits = soft[y + at[:, 0, 1], x + at[:, 0, 0]] < soft[y + at[:, 1, 1], x + at[:, 1, 0]]
-            out.append((x / scale, y / scale, scale, float(np.degrees(angle)), np.packbits(bits).view("<u4").astype(int).tolist()))
-    return out
+            out.append((round(4 * x / scale), round(4 * y / scale), level, round(np.degrees(angle)), np.packbits(bits)))
+    return np.array(out, dtype=CORNER)
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in FEATURES.split(", ")]
+    """Corners of each class that this task hasn't met before."""
+    known: set[int] = set()
     for batch in batches:
         rows = []
-        for k, w, h, raw in zip(batch["class_id"], batch["width"], batch["height"], batch["pixels"], strict=True):
-            if raw is not None and w > 0 and h > 0 and w * h == len(raw):
-                rows += [(k, *x) for x in describe(np.frombuffer(raw, dtype=np.uint8).reshape(int(h), int(w)))]
-        yield pd.DataFrame(rows, columns=columns)
+        for c, w, h, raw in zip(batch["class_id"], batch["width"], batch["height"], batch["pixels"], strict=True):
+            if c not in known and raw is not None and w > 0 and h > 0 and w * h == len(raw):
+                rows.append((c, describe(np.frombuffer(raw, dtype=np.uint8).reshape(int(h), int(w))).tobytes()))
+            if len(known) > 1_000_000:
+                known.clear()
+            known.add(c)
+        yield pd.DataFrame(rows, columns=["class_id", "corners"])
+
+
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(band and its value, class, number of the corner) of every corner: the rows of the Hamming tables."""
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            keys, classes, places = [], [], []
+            for c, raw in zip(batch["class_id"][at : at + 500], batch["corners"][at : at + 500], strict=True):
+                own = np.frombuffer(raw, dtype=CORNER)
+                if len(own):
+                    words = np.ascontiguousarray(own["bits"]).view("<u4").astype(np.int64) + (np.arange(BANDS, dtype=np.int64) << 32)
+                    keys.append(words.ravel())
+                    classes.append(np.full(words.size, c))
+                    places.append(np.repeat(np.arange(len(own), dtype=np.int16), BANDS))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "class_id": np.concatenate(classes), "k": np.concatenate(places)})
+
+
+def agreement(query: np.ndarray, image: np.ndarray, met: np.ndarray) -> int:
+    """Most corners of two images that agree on a turn, a scale and a shift; met: pairs of corner numbers."""
+    q, x = query[met[:, 0]], image[met[:, 1]]
+    near = np.unpackbits(q["bits"] ^ x["bits"], axis=1).sum(axis=1) <= MOST_DIFFERENT
+    q, x, met = q[near], x[near], met[near]
+    turn = np.rint((x["angle"].astype(float) - q["angle"]) / TURN_BIN) % (360 / TURN_BIN)
+    grow = np.array(SCALES)[q["scale"]] / np.array(SCALES)[x["scale"]]
+    rad = np.radians(turn * TURN_BIN)
+    qx, qy = q["x"] / 4, q["y"] / 4
+    sx = x["x"] / 4 - grow * (qx * np.cos(rad) - qy * np.sin(rad))
+    sy = x["y"] / 4 - grow * (qx * np.sin(rad) + qy * np.cos(rad))
+    bins: dict[tuple, tuple[set, set]] = {}
+    for k, key in enumerate(zip(turn, np.rint(np.log2(grow) * 2), sx // SHIFT_BIN, sy // SHIFT_BIN, strict=True)):
+        own = bins.setdefault(key, (set(), set()))
+        own[0].add(met[k, 0])
+        own[1].add(met[k, 1])
+    return max((min(len(a), len(b)) for a, b in bins.values()), default=0)
+
+
+def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        n = [agreement(np.frombuffer(a, dtype=CORNER), np.frombuffer(b, dtype=CORNER), np.array(m, dtype=np.int64).reshape(-1, 2)) for a, b, m in zip(batch["qc"], batch["ic"], batch["met"], strict=True)]
+        yield pd.DataFrame({"q": batch["q"], "class_id": batch["class_id"], "n": n})
 
 
 def find_copies(images: DataFrame, queries) -> DataFrame:
     """One row for each image: image_id, class_id (of equal pixels), query_class (the query image's class that it is the best
     copy of, or null), corners (that agree). images: image_id, width, height, pixels (grey bytes); queries: a condition on image_id."""
-    own = images.select(F.col("image_id").cast("long").alias("image_id"), F.coalesce(F.col("width").cast("long"), F.lit(0)).alias("width"), F.coalesce(F.col("height").cast("long"), F.lit(0)).alias("height"), F.col("pixels").cast("binary").alias("pixels"))
+    size = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
+    own = images.select(F.col("image_id").cast("long").alias("image_id"), size("width"), size("height"), F.col("pixels").cast("binary").alias("pixels"))
     classed = own.withColumn("class_id", F.xxhash64("width", "height", "pixels"))
-    asked = F.max(F.coalesce(queries, F.lit(False)))
-    reps = classed.groupBy("class_id").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.first("pixels").alias("pixels"), asked.alias("asked"))
-    wanted = reps.select("class_id", "asked")
-    found = durable(reps.select("class_id", "width", "height", "pixels").mapInPandas(_features, FEATURES).withColumn("corner", F.monotonically_increasing_id()))
-    bands = found.select("*", F.posexplode("bits").alias("band", "value"))
-    left = bands.join(wanted.where("asked").select(F.col("class_id").alias("image_id")), "image_id")
-    names = {c: f"q_{c}" for c in ("image_id", "x", "y", "scale", "angle", "bits", "corner")}
-    met = left.withColumnsRenamed(names).join(bands, ["band", "value"]).where("q_image_id <> image_id")
-    apart = F.aggregate(F.zip_with("bits", "q_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    near = met.where(apart <= MOST_DIFFERENT).dropDuplicates(["q_corner", "corner"])
-    turn = F.pmod(F.round((F.col("angle") - F.col("q_angle")) / TURN_BIN), F.lit(360 / TURN_BIN))
-    grow = F.col("q_scale") / F.col("scale")
-    rad = F.radians(turn * TURN_BIN)
-    shift_x = F.col("x") - grow * (F.col("q_x") * F.cos(rad) - F.col("q_y") * F.sin(rad))
-    shift_y = F.col("y") - grow * (F.col("q_x") * F.sin(rad) + F.col("q_y") * F.cos(rad))
-    votes = near.groupBy("q_image_id", "image_id", turn.alias("turn"), F.round(F.log2(grow) * 2).alias("grow"), F.floor(shift_x / SHIFT_BIN).alias("sx"), F.floor(shift_y / SHIFT_BIN).alias("sy")).agg(F.least(F.count_distinct("q_corner"), F.count_distinct("corner")).alias("n"))
-    agreed = votes.where(F.col("n") >= LEAST_AGREE).groupBy(F.col("image_id").alias("class_id")).agg(F.max(F.struct("n", F.col("q_image_id").alias("q"))).alias("best"))
-    return classed.select("image_id", "class_id").join(agreed, "class_id", "left").select("image_id", "class_id", F.col("best.q").alias("query_class"), F.coalesce("best.n", F.lit(0)).cast("long").alias("corners"))
-
-
-def rendered(embeddings: DataFrame, side: int = 8, zoom: int = 8) -> DataFrame:
-    """Vectors as images: the table has no media, so each vector of side * side numbers is drawn as a smooth grey picture."""
+    found = durable(classed.select("class_id", "width", "height", "pixels").mapInPandas(_features, FEATURES).groupBy("class_id").agg(F.max("corners").alias("corners")))
+    members = durable(classed.select("image_id", "class_id", F.coalesce(queries, F.lit(False)).alias("asked")))
+    asked = members.where("asked").select("class_id").distinct()
+    schema = "key long, class_id long, k short"
+    tables = found.mapInPandas(_bands, schema)
+    asking = found.join(asked, "class_id", "left_semi").mapInPandas(_bands, schema).select("key", F.col("class_id").alias("q"), F.col("k").alias("qk"))
+    met = tables.join(asking, "key").where("q <> class_id")
+    # Fewer corners met than must agree: no copy.
+    pairs = met.groupBy("q", "class_id").agg(F.collect_set(F.array(F.col("qk").cast("int"), F.col("k").cast("int"))).alias("met")).where(F.size("met") >= LEAST_AGREE)
+    held = pairs.join(found.select("class_id", F.col("corners").alias("ic")), "class_id").join(found.select(F.col("class_id").alias("q"), F.col("corners").alias("qc")), "q")
+    votes = held.select("q", "class_id", F.flatten("met").alias("met"), "qc", "ic").mapInPandas(_agree, "q long, class_id long, n long")
+    agreed = votes.where(F.col("n") >= LEAST_AGREE).groupBy("class_id").agg(F.max(F.struct("n", "q")).alias("best"))
+    return members.join(agreed, "class_id", "left").select("image_id", "class_id", F.col("best.q").alias("query_class"), F.coalesce("best.n", F.lit(0)).cast("long").alias("corners"))
+
+
+def rendered(embeddings: DataFrame, side: int = 16, zoom: int = 4) -> DataFrame:
+    """Vectors as images: the tables have no media, so each vector, through a fixed projection, is drawn as side * side grey cells."""
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        through = np.random.default_rng(64).normal(size=(64, side * side))
         for batch in batches:
             pictures = []
             for v in batch["embedding"]:
-                a = np.resize(np.nan_to_num(np.asarray(v if v is not None else [], dtype=float)), side * side) if v is not None and len(v) else np.zeros(side * side)
-                a = a.reshape(side, side)
+                own = np.nan_to_num(np.asarray(v, dtype=float)) if v is not None and len(v) else np.zeros(64)
+                a = (np.resize(own, 64) @ through).reshape(side, side)
                 spread = a.max() - a.min()
                 grey = np.kron((a - a.min()) / spread if spread else a, np.ones((zoom, zoom))) * 255
-                pictures.append(_smooth(grey, 2).clip(0, 255).astype(np.uint8).tobytes())
+                pictures.append(_smooth(grey, 1).clip(0, 255).astype(np.uint8).tobytes())
             yield pd.DataFrame({"image_id": batch["vec_id"], "width": side * zoom, "height": side * zoom, "pixels": pictures})
 
     return embeddings.select("vec_id", "embedding").mapInPandas(draw, "image_id long, width int, height int, pixels binary")

@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, mix64
 
 SCALES = (1.0, 0.75, 0.5)
-CORNERS, RADIUS, BITS, BANDS = 12, 11, 256, 8
+CORNERS, RADIUS, BITS, BANDS = 12, 11, 256, 4
 #: Bits that two descriptors of one corner may differ in; corners that must agree; places of an agreement's bins.
 MOST_DIFFERENT, LEAST_AGREE, SHIFT_BIN, TURN_BIN = 24, 4, 8.0, 30.0
 #: The tests: pairs of places around a corner, from a rule.
@@ -102,8 +102,8 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for c, raw in zip(batch["class_id"][at : at + 500], batch["corners"][at : at + 500], strict=True):
                 own = np.frombuffer(raw, dtype=CORNER)
                 if len(own):
-                    words = np.ascontiguousarray(own["bits"]).view("<u4").astype(np.int64) + (np.arange(BANDS, dtype=np.int64) << 32)
-                    keys.append(words.ravel())
+                    words = mix64(np.ascontiguousarray(own["bits"]).view("<u8") ^ mix64(np.arange(1, BANDS + 1, dtype=np.uint64)))
+                    keys.append(words.ravel().view(np.int64))
                     classes.append(np.full(words.size, c))
                     places.append(np.repeat(np.arange(len(own), dtype=np.int16), BANDS))
             if keys:

@@ -324,3 +324,18 @@ def test_pipeline(spark):
     for r in out.collect():
         sizes[r["sequence_id"]] += r["length"]
     assert all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
+
+
+def test_queries_agree_with_sql(spark):
+    import duckdb
+    from conftest import SF
+
+    from rulesmith.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        got = queries.QUERIES[name](spark, SF)
+        columns = sorted(got.columns)
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({sql}) q").fetchall()
+        assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want)), name

@@ -53,3 +53,38 @@ def dimension_blocks(df: DataFrame, key: str, vector: str, digits: int = 1, top:
     shared = token_freq(parts).where("freq > 1")
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("freq"), "token"))
     return parts.join(shared, "token").select("key", "token", "freq", rank.alias("rank")).where(F.col("rank") <= top)
+
+
+def row_sentence(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with sentence: the columns joined by #, nulls as empty; a row of nulls only has an empty sentence."""
+    whole = F.concat_ws("#", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return df.withColumn("sentence", F.when(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull(), F.lit("")).otherwise(whole))
+
+
+def greedy_clusters(df: DataFrame, key: str, text: str, block: str, threshold: float, n: int = 3) -> DataFrame:
+    """(key, seed): in each block, in key order, the first unassigned row is a seed and takes later rows of Jaccard over threshold.
+
+    Order decides by definition, so a block is worked off in one task: blocks must be small (see dimension_blocks, derived).
+    Blank texts have the seed -2.
+    """
+    import pandas as pd
+
+    def grams(x: str) -> set[str]:
+        p = "#" * (n - 1) + x + "#" * (n - 1)
+        return {p[k : k + n] for k in range(len(p) - n + 1)}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("key")
+        seeds: list[tuple[int, set[str]]] = []
+        out = []
+        for k, x in zip(rows["key"], rows["text"], strict=True):
+            own = grams(x) if x else set()
+            hit = next((s for s, other in seeds if len(own & other) > threshold * len(own | other)), None) if own else -2
+            if hit is None:
+                seeds.append((k, own))
+                hit = k
+            out.append(hit)
+        return pd.DataFrame({"key": rows["key"], "seed": out})
+
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.col(block).alias("block"))
+    return rows.groupBy("block").applyInPandas(run, "key long, seed long")

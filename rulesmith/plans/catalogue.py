@@ -363,3 +363,38 @@ def _(spark, sf):
     baskets = _t(spark, sf, "orders").select(F.array(F.concat(F.lit("p="), "o_orderpriority"), F.concat(F.lit("s="), "o_orderstatus")).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=0.05, minConfidence=0.5).fit(baskets).freqItemsets
     return found.select(F.array_join(F.sort_array("items"), ",").alias("items"), "freq")
+
+
+@query("row_sentence", "SELECT p_partkey, p_name || '#' || p_brand || '#' || CAST(p_size AS VARCHAR) AS sentence FROM part")
+def _(spark, sf):
+    return blocking.row_sentence(_t(spark, sf, "part"), ["p_name", "p_brand", "p_size"]).select("p_partkey", "sentence")
+
+
+@query("tree_path_rows", "SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS n_y FROM lineitem WHERE l_quantity < 10.5 AND l_discount >= 0.05")
+def _(spark, sf):
+    rows = _t(spark, sf, "lineitem")
+    for c, op, v in trees.simplified([("l_quantity", "<", 30.5), ("l_discount", ">=", 0.05), ("l_quantity", "<", 10.5)]):
+        rows = rows.where(constant_filter(F.col(c), "double", op, str(v)))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("n_y"))
+
+
+GINI_SQL = "SELECT '{v}' AS value, round(y / n * (1 - pow(xy / y, 2) - pow((y - xy) / y, 2)) + (n - y) / n * (1 - pow((x - xy) / (n - y), 2) - pow((n - y - x + xy) / (n - y), 2)), 9) AS gini FROM (SELECT COUNT(*)::DOUBLE AS n, COUNT(*) FILTER (WHERE l_linestatus = 'O')::DOUBLE AS y, COUNT(*) FILTER (WHERE l_returnflag = '{v}')::DOUBLE AS x, COUNT(*) FILTER (WHERE l_returnflag = '{v}' AND l_linestatus = 'O')::DOUBLE AS xy FROM lineitem)"
+
+
+@query("gini_top", "SELECT * FROM (" + " UNION ALL ".join(GINI_SQL.format(v=v) for v in "ANR") + ") q ORDER BY gini, value LIMIT 2")
+def _(spark, sf):
+    rows = _t(spark, sf, "lineitem")
+    made = [_rounded(stats.gini_index(rows, F.col("l_returnflag") == v, F.col("l_linestatus") == "O"), "gini").select(F.lit(v).alias("value"), "gini") for v in "ANR"]
+    return made[0].unionByName(made[1]).unionByName(made[2]).orderBy("gini", "value").limit(2)
+
+
+@query("greedy_clusters")
+def _(spark, sf):
+    return blocking.greedy_clusters(_t(spark, sf, "part"), "p_partkey", "p_name", "p_brand", 0.5)
+
+
+@query("hash_groups", "SELECT 7 AS buckets, COUNT(*) AS n_values, CAST(SUM(c) AS BIGINT) AS n_rows FROM (SELECT o_custkey, COUNT(*) AS c FROM orders GROUP BY 1)")
+def _(spark, sf):
+    per = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("c"))
+    buckets = per.groupBy(F.pmod(F.xxhash64("o_custkey"), F.lit(7)).alias("bucket")).agg(F.count("*").alias("v"), F.sum("c").alias("r"))
+    return buckets.agg(F.count("*").cast("int").alias("buckets"), F.sum("v").alias("n_values"), F.sum("r").alias("n_rows"))

@@ -129,6 +129,16 @@ def test_gini_and_predicate_support_of_edges(spark):
     assert (one["xy"], one["nxny"], one["gini"]) == (1, 1, 0.0)
 
 
+def test_greedy_clusters(spark):
+    from rulesmith.operators import blocking
+
+    rows = [(1, "apple, apple, 1", 0), (2, "orange, orange, 1", 0), (3, "apple, apple, 2", 0), (4, "", 0), (5, "orange, orange, 2", 0), (6, "apple, apple, 1", 1), (7, None, 1)]
+    df = spark.createDataFrame(rows, "id long, t string, b int")
+    assert dict(map(tuple, blocking.greedy_clusters(df, "id", "t", "b", 0.5).collect())) == {1: 1, 2: 2, 3: 1, 4: -2, 5: 2, 6: 6, 7: -2}
+    blank = spark.createDataFrame([(None, None), ("a", None)], "x string, y string")
+    assert sorted(r["sentence"] for r in blocking.row_sentence(blank, ["x", "y"]).collect()) == ["", "a#"]
+
+
 def test_entry_stands_without_the_text_operators():
     import subprocess
     import sys

@@ -1,10 +1,12 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle with exact shard sizes.
 
 The shards are cut into cells of a bounded number of rows, whose sizes are exact beforehand. Row v of the matrix says how
-many rows of input partition v go to each cell; it is drawn from the multivariate hypergeometric law of what is left in
-the cells, so the matrix as a whole has the law it has under a uniform permutation. Each partition permutes its rows'
-cells locally, the rows are exchanged once, and each cell permutes what it got. A slot is the cell's first slot plus the
-place in the cell, so no task sees more than a cell.
+many rows of input partition v go to each cell. The matrix has the law it has under a uniform permutation: halves of the
+partitions are split again and again, and how many rows of each cell come from the first half is drawn from the multivariate
+hypergeometric law. Every split has a seed of its own, so each task draws its own row and nobody holds the matrix; the driver
+only splits until a part has under LIMIT rows (the bound of numpy's generator). Each partition permutes its rows' cells
+locally, the rows are exchanged once, and each cell permutes what it got. A slot is the cell's first slot plus the place in
+the cell, so no task sees more than a cell.
 
 Law: `rows`, counts of any two shards at most one apart. Defined results: null ids, null texts and repeated rows are
 rows like others; an empty table gives no rows; all columns of the input stay, except that shard and slot replace input
@@ -22,45 +24,103 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import shuffle_width
+
 CELL_ROWS = 5000
-MAX_CELLS = 4096
-
-
-def cells(total: int, shards: int, cell_rows: int = CELL_ROWS, least: int = 1) -> np.ndarray:
-    """(shard, first slot, rows) of each cell; at most MAX_CELLS of them."""
-    each = max(1, min(MAX_CELLS // shards, max(-(-total // (shards * cell_rows)), -(-least // shards))))
-    out = []
-    for shard in range(shards):
-        rows = total // shards + (shard < total % shards)
-        cuts = [rows * k // each for k in range(each + 1)]
-        out += [(shard, a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return np.array(out, dtype=np.int64)
-
-
-def matrix(sources: list[int], targets: np.ndarray, seed: int) -> np.ndarray:
-    """Rows from each source to each target: margins are exact, the law is that of a uniform permutation."""
-    rng, left = np.random.default_rng(seed), targets.copy()
-    out = np.zeros((len(sources), len(targets)), dtype=np.int64)
-    for v, rows in enumerate(sources):
-        out[v] = rng.multivariate_hypergeometric(left, rows, method="marginals") if rows else 0
-        left -= out[v]
+MAX_CELLS = 1 << 14
+#: Rows from which hypergeometric numbers are drawn here rather than by numpy.
+LIMIT = 10**9
+
+
+def cells_each(total: int, shards: int, least: int = 1) -> int:
+    """Cells of each shard: CELL_ROWS rows each, but MAX_CELLS at most and `least` at least over all shards."""
+    return max(1, min(MAX_CELLS // shards, max(-(-total // (shards * CELL_ROWS)), -(-least // shards))))
+
+
+def cell_sizes(total: int, shards: int, each: int) -> np.ndarray:
+    """Rows of each cell, shard after shard."""
+    rows = [total // shards + (shard < total % shards) for shard in range(shards)]
+    return np.array([n * (k + 1) // each - n * k // each for n in rows for k in range(each)], dtype=np.int64)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Good ones among n of good + bad, by inversion around the mode: ratios of neighbours, no large factorials.
+
+    Weights reach twelve standard deviations to each side; what is beyond is less than a double can hold beside 1.
+    """
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 40 + int(12 * (n / total * good * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1)
+    at = k[:-1]
+    steps = np.log((good - at) / (at + 1)) + np.log((n - at) / (bad - n + at + 1))
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    upto = np.cumsum(np.exp(weight - weight.max()))
+    return int(k[min(len(k) - 1, np.searchsorted(upto, rng.random() * upto[-1], "right"))])
+
+
+def draw(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """How many of n rows go to each cell, when `left` is what the cells still take."""
+    total = int(left.sum())
+    if total < LIMIT:
+        return rng.multivariate_hypergeometric(left, n, method="marginals")
+    out = np.zeros_like(left)
+    for k, own in enumerate(left.tolist()):
+        total -= own
+        out[k] = got = hypergeometric(rng, own, total, n)
+        n -= got
     return out
 
 
-def _deal(batches: Iterator[pa.RecordBatch], drawn: dict[int, np.ndarray], seed: int) -> Iterator[pa.RecordBatch]:
+def split(part: tuple[int, int, np.ndarray], starts: np.ndarray, seed: int) -> list[tuple[int, int, np.ndarray]]:
+    """The two halves of a part (first partition, end, rows of each cell that come from it); its seed is its place."""
+    a, b, taken = part
+    mid = (a + b) // 2
+    first = draw(np.random.default_rng([seed, a, b]), taken, int(starts[mid] - starts[a]))
+    return [(a, mid, first), (mid, b, taken - first)]
+
+
+def top_parts(starts: np.ndarray, sizes: np.ndarray, seed: int) -> list[tuple[int, int, np.ndarray]]:
+    """Parts of under LIMIT rows (or one partition), in order; starts: rows before each partition, and all rows."""
+    done, todo = [], [(0, len(starts) - 1, sizes)]
+    while todo:
+        part = todo.pop()
+        if part[1] - part[0] < 2 or int(part[2].sum()) < LIMIT:
+            done.append(part)
+        else:
+            todo += reversed(split(part, starts, seed))
+    return done
+
+
+def matrix_row(v: int, parts: list[tuple[int, int, np.ndarray]], starts: np.ndarray, seed: int) -> np.ndarray:
+    """Rows of partition v for each cell; the rows of all partitions add up to the cells."""
+    part = next((p for p in parts if p[0] <= v < p[1]), None)
+    if part is None:
+        return np.zeros(0, dtype=np.int64)
+    while part[1] - part[0] > 1:
+        first, second = split(part, starts, seed)
+        part = first if v < first[1] else second
+    return part[2]
+
+
+def _deal(batches: Iterator[pa.RecordBatch], parts: list, starts: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
     v = TaskContext.get().partitionId()
-    counts = drawn.get(v, np.zeros(0, dtype=np.int64))
-    rng = np.random.default_rng([seed, v])
-    to = rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
-    at = 0
+    to, at = None, 0
     for batch in batches:
+        if to is None:
+            counts = matrix_row(v, parts, starts, seed)
+            rng = np.random.default_rng([seed, v])
+            to = rng.permutation(np.repeat(np.arange(len(counts), dtype=np.int32), counts))
         n = batch.num_rows
         if at + n > len(to):
             raise RuntimeError("the input's partitions changed between two reads; write it to a table first")
         order = rng.integers(0, 1 << 62, n)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + n]), pa.array(order)], names=[*batch.schema.names, "__cell", "__order"])
         at += n
-    if at != len(to):
+    if at != (len(to) if to is not None else int(starts[v + 1] - starts[v]) if v + 1 < len(starts) else 0):
         raise RuntimeError("the input's partitions changed between two reads; write it to a table first")
 
 
@@ -70,19 +130,18 @@ def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     docs must give the same partitions whenever it is read, as tables and files do; a change is noticed and raised.
     """
     docs = docs.drop("shard", "slot")
-    # Partitions and cells bound what the driver holds.
+    # One number for each input partition, and one vector of cells for each LIMIT rows.
     found = dict(docs.select(F.spark_partition_id().alias("v")).groupBy("v").count().collect())
-    sources = [found.get(v, 0) for v in range(max(found, default=-1) + 1)]
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells(sum(sources), shards, least=2 * width)
-    drawn = matrix(sources, dealt[:, 2], seed)
-    rows = {v: drawn[v] for v in range(len(sources)) if sources[v]}
+    starts = np.cumsum([0, *(found.get(v, 0) for v in range(max(found, default=-1) + 1))])
+    total = int(starts[-1])
+    each = cells_each(total, shards, 2 * shuffle_width(docs))
+    parts = top_parts(starts, cell_sizes(total, shards, each), seed)
     schema = T.StructType([*docs.schema.fields, T.StructField("__cell", T.IntegerType()), T.StructField("__order", T.LongType())])
-    sent = docs.mapInArrow(lambda batches: _deal(batches, rows, seed), schema)
+    sent = docs.mapInArrow(lambda batches: _deal(batches, parts, starts, seed), schema)
     place = F.row_number().over(Window.partitionBy("__cell").orderBy("__order"))
-    first = F.array(*[F.lit(int(x)) for x in dealt[:, 1]]) if len(dealt) else F.array(F.lit(0))
-    shard = F.array(*[F.lit(int(x)) for x in dealt[:, 0]]) if len(dealt) else F.array(F.lit(0))
-    return sent.withColumn("shard", shard[F.col("__cell")].cast("int")).withColumn("slot", (first[F.col("__cell")] + place - 1).cast("long")).drop("__cell", "__order")
+    sent = sent.withColumn("shard", F.expr(f"cast(__cell div {each} as int)"))
+    first = F.expr(f"({total // shards} + if(shard < {total % shards}, 1, 0)) * cast(__cell % {each} as bigint) div {each}")
+    return sent.withColumn("slot", (first + place - 1).cast("long")).drop("__cell", "__order")
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -127,12 +127,28 @@ def test_sharding_law(spark, docs):
     sizes = Counter(r["shard"] for r in out)
     assert max(sizes.values()) - min(sizes.get(k, 0) for k in range(8)) <= 1
     assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
-    drawn = sharding.matrix([5, 0, 9], np.array([4, 4, 6]), 1)
-    assert drawn.sum(0).tolist() == [4, 4, 6] and drawn.sum(1).tolist() == [5, 0, 9]
     first = [[r["doc_id"] for r in sharding.shuffle_to_shards(spark.range(400).withColumnRenamed("id", "doc_id"), 4, seed=s).where("shard = 0").collect()] for s in range(3)]
     assert all(len(x) == 100 and 130 < np.mean(x) < 270 for x in first) and len({tuple(x) for x in first}) == 3
 
 
+def test_communication_matrix(monkeypatch):
+    starts, sizes = np.cumsum([0, 5, 0, 9, 1]), np.array([4, 4, 7])
+    for limit in (1, 8, 10**9):
+        monkeypatch.setattr(sharding, "LIMIT", limit)
+        parts = sharding.top_parts(starts, sizes, 1)
+        drawn = np.array([sharding.matrix_row(v, parts, starts, 1) for v in range(4)])
+        assert drawn.sum(0).tolist() == [4, 4, 7] and drawn.sum(1).tolist() == [5, 0, 9, 1] and drawn.min() >= 0
+    # The law of one entry against numpy's, and moments where numpy has no answer.
+    rng = np.random.default_rng(2)
+    own = np.bincount([sharding.hypergeometric(rng, 6, 9, 7) for _ in range(20_000)], minlength=7) / 20_000
+    plain = np.bincount(rng.hypergeometric(6, 9, 7, 200_000), minlength=7) / 200_000
+    assert np.abs(own - plain).max() < 0.015
+    good, total, n = 10**7, 4 * 10**10, 10**10
+    many = np.array([sharding.hypergeometric(rng, good, total - good, n) for _ in range(600)])
+    spread = (n / total * good * (1 - good / total) * (1 - n / total)) ** 0.5
+    assert abs(many.mean() - good / 4) < 5 * spread / 600**0.5 and 0.85 < many.std() / spread < 1.15
+
+
 def test_mixing_targets(docs):
     rows = [r.asDict() for r in mixing.op6(docs).collect()]
     assert sorted(map(str, rows)) == sorted(str(r.asDict()) for r in mixing.op6(docs.repartition(5)).collect())
@@ -256,6 +272,25 @@ def test_license_suppression():
     assert [x[2] for x in found] == ["gpl"] and found[0][:2] == (0, 12)
 
 
+def test_license_suppression_of_many():
+    rng = np.random.default_rng(4)
+    vocabulary = "gnu general public license gpl under the terms of apache see for details cc by nc sa version 2 or later licensed mit".split()
+    for n in (1, 7, 60, 600):
+        words = [vocabulary[k] for k in rng.integers(0, len(vocabulary), n)]
+        joined = " ".join(words)
+        found = []
+        for k, (label, keyword, priority, score, pattern) in enumerate(licenses.rules()):
+            if keyword in words:
+                for m in pattern.finditer(joined):
+                    a, b = joined[: m.start()].count(" "), joined[: m.end()].count(" ") + 1
+                    found.append((-priority, a - b, k, a, b, label, score))
+        kept = []
+        for _, _, _, a, b, label, score in sorted(found):
+            if not any(x <= a and b <= y for x, y, *_ in kept):
+                kept.append((a, b, label, score))
+        assert licenses.detect(words, set(words)) == sorted(kept)
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []

@@ -15,6 +15,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -111,13 +112,14 @@ def _gate() -> tuple[frozenset[str], tuple]:
     return keywords, base
 
 
+def begins(words: list[str]) -> list[int]:
+    """Where each word begins in the words joined by spaces."""
+    return [0, *accumulate(len(w) + 1 for w in words[:-1])] if words else []
+
+
 def detect(words: list[str], present: set[str]) -> list[tuple[int, int, str, float]]:
     """(first word, end word, label, score) of the detections that stand, over the words of one text."""
-    joined = " ".join(words)
-    starts, at = [], 0
-    for w in words:
-        starts.append(at)
-        at += len(w) + 1
+    joined, starts = " ".join(words), begins(words)
     found = []
     for k, (label, keyword, priority, score, pattern) in enumerate(rules()):
         if keyword in present:
@@ -125,9 +127,16 @@ def detect(words: list[str], present: set[str]) -> list[tuple[int, int, str, flo
                 a, b = bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1)
                 found.append((-priority, a - b, k, a, b, label, score))
     kept: list[tuple[int, int, str, float]] = []
+    outer: list[tuple[int, int]] = []  # intervals kept that lie in no other: both ends ascend
     for _, _, _, a, b, label, score in sorted(found):
-        if not any(x <= a and b <= y for x, y, *_ in kept):
-            kept.append((a, b, label, score))
+        at = bisect_right(outer, a, key=lambda x: x[0])
+        if at and outer[at - 1][1] >= b:
+            continue
+        kept.append((a, b, label, score))
+        end = at
+        while end < len(outer) and outer[end][1] <= b:
+            end += 1
+        outer[at - (at > 0 and outer[at - 1][0] == a) : end] = [(a, b)]
     return sorted(kept)
 
 
@@ -143,10 +152,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             places, base_labels, labels, score, spans = [], set(), set(), 0.0, ""
             if present:
                 words = [w.decode("utf-8", "replace") for w in raw]
-                joined = " ".join(words)
+                joined, starts = " ".join(words), begins(words)
                 for pattern, label, first in base:
                     if first.encode() in own:
-                        hits = [joined.count(" ", 0, m.start()) for m in pattern.finditer(joined)]
+                        hits = [bisect_right(starts, m.start()) - 1 for m in pattern.finditer(joined)]
                         places += hits
                         base_labels |= {label} if hits else set()
                 found = detect(words, present)

@@ -88,3 +88,9 @@ def greedy_clusters(df: DataFrame, key: str, text: str, block: str, threshold: f
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.col(block).alias("block"))
     return rows.groupBy("block").applyInPandas(run, "key long, seed long")
+
+
+def prefix_tokens(tokens: DataFrame, threshold: float) -> DataFrame:
+    """(key, ids): of each row's token places, rarest first, as many as a partner over the threshold can't all miss."""
+    placed = tokens.join(token_order(tokens), "token").groupBy("key").agg(F.sort_array(F.collect_set("ord")).alias("ords"))
+    return placed.select("key", F.slice("ords", 1, F.ceil(F.size("ords") * (1 - threshold)).cast("int")).alias("ids"))

@@ -52,3 +52,9 @@ def top_columns(df: DataFrame, columns: list[str], label: str, k: int = 20) -> D
     made = df.agg(*[F.abs(F.corr(F.col(c).cast("double"), F.col(label).cast("double"))).alias(c) for c in columns])
     cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("r")) for c in columns])
     return made.select(F.inline(cells)).where("r is not null and not isnan(r)").orderBy(F.desc("r"), "col").limit(k)
+
+
+def moments(df: DataFrame, column: str) -> DataFrame:
+    """One row: mean, variance and deviation (divisor n - 1), greatest value and share of nulls of a column."""
+    x = F.col(column).cast("double")
+    return df.agg(F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("deviation"), F.max(x).alias("greatest"), F.avg(x.isNull().cast("double")).alias("null_share"))

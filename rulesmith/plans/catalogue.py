@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rulesmith.functions.predicates import constant_filter, parse_rule
 from rulesmith.operators import blocking, corr, measure, stats
-from rulesmith.plans import lattice, trees
+from rulesmith.plans import lattice, tasks, trees
+from rulesmith.sources.store import Store, first_rows, live, rows_between
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -398,3 +399,89 @@ def _(spark, sf):
     per = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("c"))
     buckets = per.groupBy(F.pmod(F.xxhash64("o_custkey"), F.lit(7)).alias("bucket")).agg(F.count("*").alias("v"), F.sum("c").alias("r"))
     return buckets.agg(F.count("*").cast("int").alias("buckets"), F.sum("v").alias("n_values"), F.sum("r").alias("n_rows"))
+
+
+# --- tasks, lookups and scans ---
+
+
+def _store(spark: SparkSession) -> Store:
+    from uuid import uuid4
+
+    return Store(spark, f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/rule-store-{uuid4().hex}")
+
+
+@query("task_run", ORACLE_SQL["incremental_rules"])
+def _(spark, sf):
+    """A task from scratch, then one from the latest task with a lower confidence, both by way of the store."""
+    orders, store = _t(spark, sf, "orders"), _store(spark)
+    tasks.run_task(orders, store, SUPPORT, 0.9, columns=list(ORDERS), max_level=2)
+    _, state = tasks.run_task(orders, store, SUPPORT, 0.25, "latest", max_level=2)
+    return lattice.as_frame(spark, state.minimal).select("lhs", "rhs", "support", "confidence")
+
+
+@query("abandoned_rules", f"SELECT lhs, rhs FROM ({VERDICT_SQL}) v WHERE has_rule AND NOT (lhs = 'o_custkey' AND rhs = 'o_orderstatus')")
+def _(spark, sf):
+    rules = QUERIES["layer_verdicts"](spark, sf).where("has_rule").withColumn("ree", F.concat("lhs", F.lit("->"), "rhs"))
+    return tasks.without(rules, spark.createDataFrame([("o_custkey->o_orderstatus",)], "ree string")).select("lhs", "rhs")
+
+
+RULE_COLUMNS = "lineitem(t0) ^ lineitem(t1) ^ t0.l_partkey=t1.l_suppkey ^ t0.l_returnflag=t1.l_returnflag -> t0.l_linestatus=t1.l_linestatus"
+
+
+@query("cross_column_rule", "SELECT row_size, xsupp, xysupp, xysupp / row_size::DOUBLE AS support, xysupp / xsupp::DOUBLE AS confidence FROM (SELECT COUNT(*) AS xsupp, COUNT(*) FILTER (WHERE l.l_linestatus = r.l_linestatus) AS xysupp FROM lineitem l JOIN lineitem r ON l.l_partkey = r.l_suppkey AND l.l_returnflag = r.l_returnflag) p, (SELECT COUNT(*) * COUNT(*) AS row_size FROM lineitem) q")
+def _(spark, sf):
+    return measure.evaluate(parse_rule(RULE_COLUMNS), {"lineitem": _t(spark, sf, "lineitem")})
+
+
+@query("table_rules")
+def _(spark, sf):
+    tables = {t: _t(spark, sf, t) for t in ("orders", "customer", "nation")}
+    edges = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey")]
+    found = tasks.table_rules(tables, edges, "orders", ["o_orderstatus", "o_orderpriority"], {"orders": ["o_orderstatus", "o_orderpriority"], "customer": ["c_mktsegment"], "nation": ["n_regionkey"]}, 1e-4, 0.3)
+    return spark.createDataFrame(found, "ree string, support double, confidence double")
+
+
+@query("all_tree_rules")
+def _(spark, sf):
+    return spark.createDataFrame(tasks.all_tree_rules(_t(spark, sf, "orders"), 1e-5, 0.3), "ree string, support double, confidence double")
+
+
+@query("pair_tree_rules")
+def _(spark, sf):
+    found = tasks.pair_tree_rules(_t(spark, sf, "lineitem"), "l_orderkey", ["l_partkey"], "l_linestatus", ["l_returnflag", "l_tax", "l_discount"], 1e-5, 0.5)
+    return spark.createDataFrame(found, "ree string, support double, confidence double")
+
+
+@query("split_weights", "WITH p AS (SELECT CASE WHEN p_size % 7 <> 0 THEN p_size END AS s FROM part), w AS (SELECT AVG((s < 25)::INT) AS l, COUNT(*) FILTER (WHERE s IS NULL) AS nulls, COUNT(*) FILTER (WHERE s < 25) AS a, COUNT(*) FILTER (WHERE s >= 25) AS b FROM p) SELECT 'L' AS side, round(a + nulls * l, 6) AS weight FROM w UNION ALL SELECT 'R', round(b + nulls * (1 - l), 6) FROM w")
+def _(spark, sf):
+    part = _t(spark, sf, "part").select(F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("s"))
+    return tasks.weighted(part, "s", 25.0).groupBy("side").agg(F.round(F.sum("weight"), 6).alias("weight"))
+
+
+@query("value_lookup", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 50 OFFSET 10")
+def _(spark, sf):
+    orders = _t(spark, sf, "orders")
+    return rows_between(orders.where(constant_filter(F.col("o_orderstatus"), "string", "=", "F")), "o_orderkey", 10, 50, ["o_orderkey", "o_custkey"])
+
+
+@query("sample_share", "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= ceil(0.01 * (SELECT COUNT(*) FROM orders))")
+def _(spark, sf):
+    return first_rows(_t(spark, sf, "orders"), "o_orderkey", share=0.01).select("o_orderkey")
+
+
+@query("live_rows", "SELECT l_returnflag, COUNT(*) AS n FROM lineitem WHERE l_linestatus <> 'F' GROUP BY 1")
+def _(spark, sf):
+    marked = _t(spark, sf, "lineitem").withColumn("deleted", F.col("l_linestatus") == "F")
+    return live(marked, "deleted").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("moments", "SELECT round(AVG(l_extendedprice), 4) AS mean, round(var_samp(l_extendedprice) / 1e6, 4) AS variance, round(stddev_samp(l_extendedprice), 4) AS deviation, MAX(l_extendedprice) AS greatest, AVG((l_extendedprice IS NULL)::INT) AS null_share FROM lineitem")
+def _(spark, sf):
+    made = corr.moments(_t(spark, sf, "lineitem"), "l_extendedprice").withColumn("variance", F.col("variance") / 1e6)
+    return made.select(*[F.round(c, 4).alias(c) for c in ("mean", "variance", "deviation")], "greatest", "null_share")
+
+
+@query("prefix_tokens", f"SELECT key, array_to_string(list_slice(list_sort(o), 1, CAST(ceil(len(o) * (1 - 0.8)) AS INTEGER)), ',') AS ids FROM (SELECT key, list(ord) AS o FROM ({TOKENS_SQL}) t JOIN ({ORDER_SQL}) s USING (token) GROUP BY key)")
+def _(spark, sf):
+    found = blocking.prefix_tokens(blocking.ngrams(_t(spark, sf, "part"), "p_partkey", "p_name"), 0.8)
+    return found.select("key", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))

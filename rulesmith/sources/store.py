@@ -41,6 +41,11 @@ def rows_where(df: DataFrame, keys: DataFrame, key: str, columns: list[str]) ->
     return df.join(keys.select(key).distinct(), key, "left_semi").select(*columns)
 
 
+def rows_between(df: DataFrame, key: str, offset: int, limit: int, columns: list[str] | None = None) -> DataFrame:
+    """limit rows by key after the first offset ones."""
+    return df.orderBy(key).offset(offset).limit(limit).select(*(columns or df.columns))
+
+
 class Store:
     """Tasks and rules as Parquet tables under a root folder; names are ids, a task is deleted by a later mark."""
 
@@ -61,6 +66,11 @@ class Store:
         gone = self.tasks().where((F.col("support") == support) & (F.col("confidence") == confidence)).collect()
         self._add("tasks", [(r["task"], r["support"], r["confidence"], r["columns"], r["n_rows"], time.time_ns(), True) for r in gone], "task string, support double, confidence double, columns string, n_rows long, at long, deleted boolean")
 
+    def exists(self) -> bool:
+        """Whether a task was ever stored."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/tasks")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def tasks(self) -> DataFrame:
         last = F.row_number().over(Window.partitionBy("task").orderBy(F.desc("at")))
         return self.spark.read.parquet(f"{self.root}/tasks").withColumn("k", last).where("k = 1 and not deleted").drop("k")

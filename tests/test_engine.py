@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rulesmith.functions.predicates import is_connected, ordered, parse_predicate, parse_rule
 from rulesmith.operators import corr, measure, stats
-from rulesmith.plans import catalogue, lattice, trees
+from rulesmith.plans import catalogue, lattice, tasks, trees
 from rulesmith.sources.store import Store, first_rows, read_csv, read_vectors
 
 
@@ -122,6 +122,67 @@ def test_sources_and_store(spark, tmp_path):
     assert [r["task"] for r in store.tasks().collect()] == ["one"]
 
 
+def test_tasks_start_from_stored_ones(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, "a string, b string, c int, d string")
+    store, key = Store(spark, str(tmp_path / "tasks")), lambda s: sorted(map(str, s.minimal))
+    with pytest.raises(ValueError, match="no task"):
+        tasks.run_task(df, store, 0.01, 0.9, "latest")
+    first, _ = tasks.run_task(df, store, 0.01, 0.9, columns=list("abcd"))
+    fresh = key(lattice.mine(df, 0.01, 0.6, list("abcd")))
+    for before in (first, (0.01, 0.9), "latest"):
+        assert key(tasks.run_task(df, store, 0.01, 0.6, before)[1]) == fresh
+        store.delete(0.01, 0.6)
+    with pytest.raises(ValueError, match="thresholds"):
+        tasks.run_task(df, store, 0.01, 0.9, first)
+    with pytest.raises(ValueError, match="no such task"):
+        tasks.run_task(df, store, 0.01, 0.6, "other")
+    rules = lattice.as_frame(spark, lattice.mine(df, 0.01, 0.6, list("abcd")).minimal)
+    assert tasks.without(rules, rules.limit(1)).count() == rules.count() - 1
+
+
+def test_rules_over_tables_are_those_of_the_wide_table(spark):
+    sales = [(k, k % 5, "xyz"[k % 3], "pq"[(k % 5) % 2]) for k in range(30)]
+    shops = [(k, "mn"[k % 2], k // 2) for k in range(5)]
+    tables = {"sales": spark.createDataFrame(sales, "id int, shop int, kind string, y string"), "shops": spark.createDataFrame(shops, "shop_id int, region string, size int")}
+    columns = {"sales": ["kind"], "shops": ["region", "size"]}
+    found = {r[0]: r[1:] for r in tasks.table_rules(tables, [("sales", "shop", "shops", "shop_id")], "sales", ["y"], columns, 0.01, 0.6)}
+    wide = [(k, kind, y, *shops[s][1:]) for k, s, kind, y in sales]
+    at = {"t0.kind=t1.kind": 1, "t2.region=t3.region": 3, "t2.size=t3.size": 4}
+    want, ended = {}, []
+    for x in ({"t0.kind=t1.kind"}, {"t2.region=t3.region"}, {"t2.size=t3.size"}, {"t0.kind=t1.kind", "t2.region=t3.region"}, {"t0.kind=t1.kind", "t2.size=t3.size"}, {"t2.region=t3.region", "t2.size=t3.size"}):
+        if any(d <= x for d in ended):
+            continue
+        met = [r[2] == s[2] for r in wide for s in wide if all(r[at[p]] == s[at[p]] for p in x)]
+        if sum(met) / 900 < 0.01 or sum(met) / len(met) >= 0.6:
+            ended.append(x)
+        if sum(met) / 900 >= 0.01 and sum(met) / len(met) >= 0.6:
+            want[frozenset(x)] = (sum(met) / 900, sum(met) / len(met))
+    got = {frozenset(str(p) for p in parse_rule(r).lhs if str(p) in at): v for r, v in found.items()}
+    assert got == want and want
+
+
+def test_trees_of_all_targets_and_of_pairs(spark):
+    rows = [(k, float(k % 10), "red" if k % 4 == 0 else "blue", "hi" if k % 4 == 0 else "lo", None if k % 9 == 0 else k % 4 == 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, u double, colour string, y string, flag boolean")
+    rules = tasks.all_tree_rules(df, 0.01, 0.99, ["y"])
+    assert any(r[0].endswith("-> t0.y=hi") and "colour" in r[0] for r in rules)
+    for text, support, confidence in rules:
+        assert 0 < support <= 1 and 0.99 < confidence <= 1 and "->" in text
+    pairs = tasks.pair_rows(df.withColumn("g", F.col("id") % 3), "id", ["g"], "y", ["colour", "flag"], per_row=2)
+    got = pairs.collect()
+    by = {r[0]: r for r in rows}
+    assert len(got) == sum(2 * n - 3 for n in Counter(k % 3 for k in range(200)).values())
+    for r in got:
+        a, b = by[r["key_0"]], by[r["key_1"]]
+        assert a[0] % 3 == b[0] % 3 and a[0] != b[0]
+        assert (r["colour="], r["flag="], r["y"]) == (float(a[2] == b[2]), float(None not in (a[4], b[4]) and a[4] == b[4]), str(int(a[3] == b[3])))
+    found = tasks.pair_tree_rules(df.withColumn("g", F.col("id") % 3), "id", ["g"], "y", ["colour"], 0.01, 0.99)
+    assert [(r, c) for r, _, c in found] == [("t0.g=t1.g ^ t0.colour=t1.colour -> t0.y=t1.y", 1.0)]
+    assert {(r["side"], r["weight"]) for r in tasks.weighted(spark.createDataFrame([(None,), (None,)], "v double"), "v", 1.0).collect()} == {("L", 0.5), ("R", 0.5)}
+    assert tasks.sample_support(0.01, 0.5) == 0.04
+    assert [tuple(r) for r in tasks.schema_info(spark, {"t": df.select("id", "y")}).collect()] == [("t", "id", 0, "bigint"), ("t", "y", 1, "string")]
+
+
 def test_gini_and_predicate_support_of_edges(spark):
     df = spark.createDataFrame([], "a string, b int")
     assert stats.predicate_support(df, ["a", "b"]).collect() == []

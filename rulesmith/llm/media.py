@@ -1,9 +1,9 @@
 """Media columns: copies of images, cropped or edited ones too, by local descriptors.
 
 Corners are found at several scales; each gets an orientation (its patch's intensity centroid) and 256 binary tests of
-smoothed intensities, turned by it. Descriptors meet through Hamming tables: one table for each of BANDS bands of bits,
-joined on the band's value, so two descriptors that differ in fewer bits than there are bands always meet; pairs are kept by
-their whole Hamming distance. An image is a copy of a query image when enough corners agree on one scale, turn and shift.
+smoothed intensities, turned by it; their number grows with the image's area. Every block of query images is compared with
+every block of images, each corner with each by Hamming distance, so all that differ in few enough bits meet: the work grows
+with the product of both. An image is a copy of a query image when enough corners agree on one scale, turn and shift.
 
 Equal pixels are one class before anything else, so groups of exact copies of any size cost one image. A stated set
 of query images is searched against all images.
@@ -22,10 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, mix64
+from .common import durable
 
 SCALES = (1.0, 0.75, 0.5)
-CORNERS, RADIUS, BITS, BANDS = 12, 11, 256, 4
+CORNERS, RADIUS, BITS = 12, 11, 256
+#: Pixels for which a scale has CORNERS corners; larger images have more, smaller ones as many.
+AREA = 64 * 64
+#: Bytes of corners in a block of images and of query images.
+BLOCK, ASKED_BLOCK = 2e6, 8e6
 #: Bits that two descriptors of one corner may differ in; corners that must agree; places of an agreement's bins.
 MOST_DIFFERENT, LEAST_AGREE, SHIFT_BIN, TURN_BIN = 24, 4, 8.0, 30.0
 #: The tests: pairs of places around a corner, from a rule.
@@ -67,7 +71,7 @@ def describe(image: np.ndarray) -> np.ndarray:
         inner[s, s] = strength[s, s]
         around = np.max([np.roll(strength, (i, j), (0, 1)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j], axis=0)
         ys, xs = np.nonzero((inner > around) & (inner > 1.0))
-        best = np.lexsort((xs, ys, -inner[ys, xs]))[:CORNERS]
+        best = np.lexsort((xs, ys, -inner[ys, xs]))[: max(CORNERS, CORNERS * a.size // AREA)]
         ys, xs = ys[best], xs[best]
         soft = _smooth(a, 1)
         for y, x in zip(ys.tolist(), xs.tolist(), strict=True):
@@ -94,22 +98,6 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["class_id", "corners"])
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(band and its value, class, number of the corner) of every corner: the rows of the Hamming tables."""
-    for batch in batches:
-        for at in range(0, len(batch), 500):
-            keys, classes, places = [], [], []
-            for c, raw in zip(batch["class_id"][at : at + 500], batch["corners"][at : at + 500], strict=True):
-                own = np.frombuffer(raw, dtype=CORNER)
-                if len(own):
-                    words = mix64(np.ascontiguousarray(own["bits"]).view("<u8") ^ mix64(np.arange(1, BANDS + 1, dtype=np.uint64)))
-                    keys.append(words.ravel().view(np.int64))
-                    classes.append(np.full(words.size, c))
-                    places.append(np.repeat(np.arange(len(own), dtype=np.int16), BANDS))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "class_id": np.concatenate(classes), "k": np.concatenate(places)})
-
-
 def agreement(query: np.ndarray, image: np.ndarray, met: np.ndarray) -> int:
     """Most corners of two images that agree on a turn, a scale and a shift; met: pairs of corner numbers."""
     q, x = query[met[:, 0]], image[met[:, 1]]
@@ -129,10 +117,58 @@ def agreement(query: np.ndarray, image: np.ndarray, met: np.ndarray) -> int:
     return max((min(len(a), len(b)) for a, b in bins.values()), default=0)
 
 
-def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        n = [agreement(np.frombuffer(a, dtype=CORNER), np.frombuffer(b, dtype=CORNER), np.array(m, dtype=np.int64).reshape(-1, 2)) for a, b, m in zip(batch["qc"], batch["ic"], batch["met"], strict=True)]
-        yield pd.DataFrame({"q": batch["q"], "class_id": batch["class_id"], "n": n})
+def _near(asked: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in asked (n, 4) and in words (4, m) of all pairs that differ in MOST_DIFFERENT bits at most."""
+    rows, columns = [], []
+    for at in range(0, words.shape[1], 2048):
+        own = words[:, at : at + 2048]
+        half = np.bitwise_count(asked[:, 0, None] ^ own[0]) + np.bitwise_count(asked[:, 1, None] ^ own[1])
+        found = np.flatnonzero(half <= MOST_DIFFERENT)
+        if len(found):
+            r, c = np.divmod(found, own.shape[1])
+            rest = np.bitwise_count(asked[r, 2] ^ own[2, c]).astype(np.int64) + np.bitwise_count(asked[r, 3] ^ own[3, c])
+            near = half.ravel()[found] + rest <= MOST_DIFFERENT
+            rows.append(r[near])
+            columns.append(c[near] + at)
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _search(asked: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
+    """(q, class_id, n) of all images of a block that agree with a query image of a block in enough corners."""
+    held = [np.frombuffer(x, dtype=CORNER) for x in images["corners"]]
+    sizes = np.array([len(x) for x in held], dtype=np.int64)
+    found = []
+    if sizes.sum():
+        owner, first = np.repeat(np.arange(len(held)), sizes), np.cumsum(sizes) - sizes
+        bits = np.unpackbits(np.concatenate([x["bits"] for x in held]), axis=1)
+        order = np.argsort(np.abs(bits.mean(axis=0) - 0.5), kind="stable")  # bits that tell most come first
+        packed = lambda x: np.ascontiguousarray(np.packbits(x[:, order], axis=1)).view("<u8")
+        words, classes = np.ascontiguousarray(packed(bits).T), images["class_id"].tolist()
+        for q, raw in zip(asked["q"].tolist(), asked["qc"], strict=True):
+            query = np.frombuffer(raw, dtype=CORNER)
+            r, c = _near(packed(np.unpackbits(query["bits"], axis=1)), words)
+            by = np.argsort(owner[c], kind="stable")
+            r, c = r[by], c[by]
+            image, at = np.unique(owner[c], return_index=True)
+            edges = [*at.tolist(), len(c)]
+            for k, a, b in zip(image.tolist(), edges[:-1], edges[1:], strict=True):
+                if b - a >= LEAST_AGREE and classes[k] != q:  # fewer corners met than must agree: no copy
+                    n = agreement(query, held[k], np.stack([r[a:b], c[a:b] - first[k]], axis=1))
+                    found += [(q, classes[k], n)] if n >= LEAST_AGREE else []
+    return pd.DataFrame(found, columns=["q", "class_id", "n"]).astype(np.int64)
+
+
+def copies(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q, class_id, n): all pairs of a query class and another class that is a copy of it. found: class_id, corners; asked: class_id."""
+    asking = found.join(asked, "class_id", "left_semi")
+    blocks = lambda df, target: max(1, int(-(-(df.agg(F.sum(F.length("corners"))).first()[0] or 0) // target)))
+    wide, deep = blocks(found, BLOCK), blocks(asking, ASKED_BLOCK)
+    own = lambda n: F.pmod(F.xxhash64("class_id", F.lit(3)), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asking.select("class_id", "corners", own(deep).alias("d"), every(wide).alias("w")).select((F.col("w") * deep + F.col("d")).cast("long").alias("at"), F.col("class_id").alias("q"), F.col("corners").alias("qc"))
+    right = found.select("class_id", "corners", own(wide).alias("w"), every(deep).alias("d")).select((F.col("w") * deep + F.col("d")).cast("long").alias("cell"), "class_id", "corners")
+    cells = lambda df: df.repartition(wide * deep, df.columns[0]).groupBy(df.columns[0])
+    return cells(left).cogroup(cells(right)).applyInPandas(_search, "q long, class_id long, n long")
 
 
 def find_copies(images: DataFrame, queries) -> DataFrame:
@@ -144,15 +180,7 @@ def find_copies(images: DataFrame, queries) -> DataFrame:
     found = durable(classed.select("class_id", "width", "height", "pixels").mapInPandas(_features, FEATURES).groupBy("class_id").agg(F.max("corners").alias("corners")))
     members = durable(classed.select("image_id", "class_id", F.coalesce(queries, F.lit(False)).alias("asked")))
     asked = members.where("asked").select("class_id").distinct()
-    schema = "key long, class_id long, k short"
-    tables = found.mapInPandas(_bands, schema)
-    asking = found.join(asked, "class_id", "left_semi").mapInPandas(_bands, schema).select("key", F.col("class_id").alias("q"), F.col("k").alias("qk"))
-    met = tables.join(asking, "key").where("q <> class_id")
-    # Fewer corners met than must agree: no copy.
-    pairs = met.groupBy("q", "class_id").agg(F.collect_set(F.array(F.col("qk").cast("int"), F.col("k").cast("int"))).alias("met")).where(F.size("met") >= LEAST_AGREE)
-    held = pairs.join(found.select("class_id", F.col("corners").alias("ic")), "class_id").join(found.select(F.col("class_id").alias("q"), F.col("corners").alias("qc")), "q")
-    votes = held.select("q", "class_id", F.flatten("met").alias("met"), "qc", "ic").mapInPandas(_agree, "q long, class_id long, n long")
-    agreed = votes.where(F.col("n") >= LEAST_AGREE).groupBy("class_id").agg(F.max(F.struct("n", "q")).alias("best"))
+    agreed = copies(found, asked).groupBy("class_id").agg(F.max(F.struct("n", "q")).alias("best"))
     return members.join(agreed, "class_id", "left").select("image_id", "class_id", F.col("best.q").alias("query_class"), F.coalesce("best.n", F.lit(0)).cast("long").alias("corners"))
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,6 +330,41 @@ def test_media_copies(spark):
     assert all(by[k]["query_class"] is None for k in (1005, 2001, 2002, None, 100, 220))
 
 
+def _edited(rng):
+    """Six pictures, and copies of each with noise that turns bits in every band of their descriptors."""
+    base = [media._smooth(np.kron(rng.uniform(0, 255, (14, 14)), np.ones((8, 8))), 1) for _ in range(6)]
+    return base, [np.clip(b + rng.normal(0, s, b.shape), 0, 255) for b in base for s in (2, 6, 10)]
+
+
+def _pictures(spark, rows):
+    made = [(k, b.shape[1], b.shape[0], bytearray(np.ascontiguousarray(b).astype(np.uint8).tobytes())) for k, b in rows]
+    return spark.createDataFrame(made, "image_id long, width int, height int, pixels binary")
+
+
+def test_media_meets_what_all_pairs_find(spark, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK", 1e4, raising=False)
+    monkeypatch.setattr(media, "ASKED_BLOCK", 3e3, raising=False)
+    base, noisy = _edited(np.random.default_rng(11))
+    rows = [(20 * k, b) for k, b in enumerate(base)] + [(1001 + k, b) for k, b in enumerate(noisy)]
+    corners = {k: media.describe(b.astype(np.uint8)) for k, b in rows}
+    every = lambda a, b: media.agreement(a, b, np.array([(i, j) for i in range(len(a)) for j in range(len(b))]))
+    want = {k: max(n for q in corners if q % 20 == 0 and q != k for n in [every(corners[q], corners[k])]) for k in corners}
+    want = {k: n if n >= media.LEAST_AGREE else 0 for k, n in want.items()}
+    assert {r["image_id"]: r["corners"] for r in media.find_copies(_pictures(spark, rows), F.col("image_id") % 20 == 0).collect()} == want
+    assert sum(n > 0 for k, n in want.items() if k > 1000) >= 12
+
+
+def test_media_queries_that_meet_nothing():
+    pictures = [media._smooth(np.kron(np.random.default_rng(k).uniform(0, 255, (14, 14)), np.ones((8, 8))), 1) for k in (5, 6)]
+    asked, held = (media.describe(p)[:3].tobytes() for p in pictures)
+    assert media._search(pd.DataFrame({"q": [1], "qc": [asked]}), pd.DataFrame({"class_id": [2], "corners": [held]})).empty
+
+
+def test_media_corners_grow_with_the_area():
+    big = media._smooth(np.kron(np.random.default_rng(2).uniform(0, 255, (40, 40)), np.ones((8, 8))), 1)
+    assert len(media.describe(big)) > 10 * media.CORNERS and len(media.describe(big[:64, :64])) <= 3 * media.CORNERS
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from conftest import SF

@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 Hundreds of regular expressions, built from licence names and phrases of reference, run over the words of a text. A
-keyword of its family gates each rule: a rule runs only where its keyword occurs. Detections are ordered by priority, then by
+keyword of its family gates each rule: a rule runs only where its keyword, or a word that stands for it, occurs; no text that
+a rule matches is without one. Detections are ordered by priority, then by
 length; one whose interval lies in that of a better one is suppressed.
 
 Defined results: a null text is an empty one: no words, labels '' and score 0; first_word and last_word are null without a
@@ -64,11 +65,11 @@ FAMILIES = (
     ("cc-by", "cc", r"cc by"),
     ("cc-by", "attribution", r"creative commons attribution(?: licen[sc]e)?"),
     ("cc-by-sa", "sa", r"cc by sa"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution share ?alike(?: licen[sc]e)?"),
+    ("cc-by-sa", "attribution", r"creative commons attribution share ?alike(?: licen[sc]e)?"),
     ("cc-by-nc", "nc", r"cc by nc"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial(?: licen[sc]e)?"),
+    ("cc-by-nc", "attribution", r"creative commons attribution non ?commercial(?: licen[sc]e)?"),
     ("cc-by-nd", "nd", r"cc by nd"),
-    ("cc-by-nd", "noderivatives", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: licen[sc]e)?"),
+    ("cc-by-nd", "attribution", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: licen[sc]e)?"),
     ("cc-by-nc-sa", "nc", r"cc by nc sa"),
     ("cc-by-nc-nd", "nc", r"cc by nc nd"),
     ("cc0", "cc0", r"cc0"),
@@ -76,6 +77,15 @@ FAMILIES = (
     ("proprietary", "reserved", r"all rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
 )
+#: Words that stand for a keyword where a name holds them in its stead.
+ALSO = {
+    "gpl": ("gplv", *(f"gpl{v}{k}" for v in ("", "v") for k in (1, 2, 3))),
+    "lgpl": ("lgplv", *(f"lgpl{v}{k}" for v in ("", "v") for k in (2, 3))),
+    "agpl": ("agplv", "agpl3", "agplv3"),
+    "lesser": ("library",),
+    "bsd": ("freebsd",),
+    "python": ("psf",),
+}
 #: Pattern around NAME, priority, score of a detection.
 REFERENCES = (
     (r"spdx licen[sc]e identifier NAMEVERSION", 100, 1.0),
@@ -106,12 +116,17 @@ def rules() -> list[tuple[str, str, int, float, re.Pattern]]:
 
 
 @lru_cache(maxsize=1)
-def _gate() -> tuple[frozenset[str], tuple]:
-    keywords = frozenset(keyword for _, keyword, *_ in rules())
+def _gate() -> tuple[dict[bytes, str], tuple]:
+    keywords = {w.encode(): keyword for _, keyword, _ in FAMILIES for w in (keyword, *ALSO.get(keyword, ()))}
     base = tuple((re.compile(rf"(?<![^ ]){phrase}(?![^ ])"), label, phrase.split()[0]) for phrase, label in BASE)
     return keywords, base
 
 
+def gated(own: set[bytes]) -> set[str]:
+    """Keywords whose rules run over a text of these words."""
+    return {keyword for w, keyword in _gate()[0].items() if w in own}
+
+
 def begins(words: list[str]) -> list[int]:
     """Where each word begins in the words joined by spaces."""
     return [0, *accumulate(len(w) + 1 for w in words[:-1])] if words else []
@@ -141,14 +156,14 @@ def detect(words: list[str], present: set[str]) -> list[tuple[int, int, str, flo
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keywords, base = _gate()
+    _, base = _gate()
     columns = [c.split()[0] for c in OUT.split(", ")]
     for batch in batches:
         rows = []
         for doc, no_id, text in zip(batch["doc_id"], batch["no_id"], batch["text"], strict=True):
             raw = _words((text or "").encode("utf-8", "surrogatepass").lower())
             own = set(raw)
-            present = {k for k in keywords if k.encode() in own}
+            present = gated(own)
             places, base_labels, labels, score, spans = [], set(), set(), 0.0, ""
             if present:
                 words = [w.decode("utf-8", "replace") for w in raw]

@@ -292,6 +292,45 @@ def test_license_suppression_of_many():
         assert licenses.detect(words, set(words)) == sorted(kept)
 
 
+def _said(parsed):
+    """Every text that a parsed pattern without unbounded repeats matches."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            own = [chr(arg)]
+        elif kind == "IN":
+            own = [chr(x) for _, x in arg]
+        elif kind == "BRANCH":
+            own = [x for one in arg[1] for x in _said(one)]
+        elif kind == "SUBPATTERN":
+            own = _said(arg[3])
+        else:
+            assert kind == "MAX_REPEAT" and arg[:2] == (0, 1)
+            own = ["", *_said(arg[2])]
+        out = [a + b for a in out for b in own]
+    return out
+
+
+def test_license_gate_loses_no_alternative():
+    from re import _parser
+
+    every = {keyword for _, keyword, *_ in licenses.rules()}
+    for _, keyword, name in licenses.FAMILIES:
+        for said in _said(_parser.parse(name)):
+            for text in (said, f"licensed under the {said} version 2 or later"):
+                words = text.split()
+                present = licenses.gated({w.encode() for w in words})
+                assert keyword in present, said
+                assert licenses.detect(words, present) == licenses.detect(words, every), said
+
+
+def test_license_scan_of_names_without_their_keyword(spark):
+    texts = {"GPLv3": "gpl", "LGPLv3": "lgpl", "AGPLv3": "agpl", "FreeBSD license": "bsd-2-clause", "Creative Commons Attribution Non-Commercial": "cc-by-nc", "Creative Commons Attribution Share-Alike": "cc-by-sa", "Creative Commons Attribution NoDerivs": "cc-by-nd", "GNU Library General Public License": "lgpl", "PSF license": "python"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.op10(docs).collect()} == dict(enumerate(texts.values()))
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []

@@ -173,15 +173,17 @@ def copies(found: DataFrame, asked: DataFrame) -> DataFrame:
 
 def find_copies(images: DataFrame, queries) -> DataFrame:
     """One row for each image: image_id, class_id (of equal pixels), query_class (the query image's class that it is the best
-    copy of, or null), corners (that agree). images: image_id, width, height, pixels (grey bytes); queries: a condition on image_id."""
+    copy of, or null), corners (that agree), copy_of (all query classes that it is a copy of with their corners, best first). images: image_id, width, height, pixels (grey bytes); queries: a condition on image_id."""
     size = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c)
     own = images.select(F.col("image_id").cast("long").alias("image_id"), size("width"), size("height"), F.col("pixels").cast("binary").alias("pixels"))
     classed = own.withColumn("class_id", F.xxhash64("width", "height", "pixels"))
     found = durable(classed.select("class_id", "width", "height", "pixels").mapInPandas(_features, FEATURES).groupBy("class_id").agg(F.max("corners").alias("corners")))
     members = durable(classed.select("image_id", "class_id", F.coalesce(queries, F.lit(False)).alias("asked")))
     asked = members.where("asked").select("class_id").distinct()
-    agreed = copies(found, asked).groupBy("class_id").agg(F.max(F.struct("n", "q")).alias("best"))
-    return members.join(agreed, "class_id", "left").select("image_id", "class_id", F.col("best.q").alias("query_class"), F.coalesce("best.n", F.lit(0)).cast("long").alias("corners"))
+    agreed = copies(found, asked).groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("n", "q")), asc=False).alias("all"))
+    best = F.col("all")[0]
+    copy_of = F.transform(F.coalesce("all", F.array().cast("array<struct<n:bigint,q:bigint>>")), lambda x: F.struct(x["q"].alias("query_class"), x["n"].alias("corners"))).alias("copy_of")
+    return members.join(agreed, "class_id", "left").select("image_id", "class_id", best["q"].alias("query_class"), F.coalesce(best["n"], F.lit(0)).cast("long").alias("corners"), copy_of)
 
 
 def rendered(embeddings: DataFrame, side: int = 16, zoom: int = 4) -> DataFrame:

@@ -393,6 +393,16 @@ def test_media_meets_what_all_pairs_find(spark, monkeypatch):
     assert sum(n > 0 for k, n in want.items() if k > 1000) >= 12
 
 
+def test_media_keeps_every_link(spark):
+    base, noisy = _edited(np.random.default_rng(12))
+    rows = [(0, base[0]), (20, noisy[0]), (40, base[1]), (1001, base[0][4:, 4:]), (1002, noisy[3])]
+    out = {r["image_id"]: r for r in media.find_copies(_pictures(spark, rows), F.col("image_id") % 20 == 0).collect()}
+    links = {k: {x["query_class"] for x in r["copy_of"]} for k, r in out.items()}
+    classes = {k: r["class_id"] for k, r in out.items()}
+    assert links == {0: {classes[20]}, 20: {classes[0]}, 40: set(), 1001: {classes[0], classes[20]}, 1002: {classes[40]}}
+    assert all(r["corners"] == max([x["corners"] for x in r["copy_of"]], default=0) for r in out.values())
+
+
 def test_media_queries_that_meet_nothing():
     pictures = [media._smooth(np.kron(np.random.default_rng(k).uniform(0, 255, (14, 14)), np.ones((8, 8))), 1) for k in (5, 6)]
     asked, held = (media.describe(p)[:3].tobytes() for p in pictures)

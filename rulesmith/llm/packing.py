@@ -31,8 +31,6 @@ WINDOW = 2048
 END_ID = 1
 #: Units in one shard's index at most; a fuller partition is worked off in several indexes.
 SHARD_UNITS = 4096
-#: Query terms of a seed: those with the highest BM25 weight.
-QUERY_TERMS = 12
 K1, B_LEN = 1.2, 0.75
 RAW = "doc_id long, no_id boolean, start long, length long, doc_tokens long, ids binary, sketch long, sequence_id long"
 PIECES = "doc_id long, no_id boolean, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
@@ -110,8 +108,7 @@ class Shard:
             terms.append(term)
             docs.append(np.full(len(term), k))
             weights.append(weight)
-            best = np.argsort(-weight, kind="stable")[:QUERY_TERMS]
-            self.query.append(term[best])
+            self.query.append(term)  # a seed asks with all its distinct terms
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
@@ -120,7 +117,7 @@ class Shard:
         self.unused = np.ones(len(ids), dtype=bool)
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused units that share a query term with the seed, best first; ties by place in the shard."""
+        """Unused units that share a term with the seed, best first; ties by place in the shard."""
         q = self.query[seed]
         at = concat_ranges(self.begin[q], self.end[q] - self.begin[q])
         score = np.bincount(self.docs[at], weights=self.weights[at], minlength=len(self.unused))

@@ -82,6 +82,19 @@ def test_packing_prefers_neighbours():
     assert len(used) == 24 * 600 and max(used.values()) == 1
 
 
+def test_packing_asks_with_all_terms():
+    rng = np.random.default_rng(8)
+    ids = [rng.choice(400, 120, replace=False) for _ in range(60)]
+    idf, mean = rng.uniform(0.5, 6, 400), 120.0
+    shard = packing.Shard(ids, idf, mean)
+    for seed in range(10):
+        shard.unused[:] = True
+        shard.unused[seed] = False
+        # One of each term and equal lengths: the weight of a shared term is its idf.
+        score = [sum(idf[list(set(ids[seed]) & set(own))]) if k != seed else 0 for k, own in enumerate(ids)]
+        assert shard.neighbours(seed).tolist() == sorted((k for k in range(60) if score[k]), key=lambda k: -score[k])
+
+
 def _links(docs, words, per_cent):
     sets = []
     for _, t, *_ in docs:

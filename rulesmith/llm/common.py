@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -16,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only in local mode, where none is set (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         context.setCheckpointDir(folder or f"/tmp/checkpoints/{context.applicationId}")
     return context.getCheckpointDir()
 
@@ -30,6 +34,24 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df with its lineage cut, and its number of rows from the same job."""
+    seen = Observation()
+    out = durable(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df doesn't have, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and hand it to body as a bound variable (higher-order functions only)."""
     return F.transform(F.array(value), body)[0]
@@ -70,3 +92,8 @@ def rows_of(docs: DataFrame) -> DataFrame:
 def own_id() -> Column:
     """The id that rows_of took apart."""
     return F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
+
+
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """128 bits of a row's id and text: rows that have both in common are the same row, whatever stands beside them."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text.cast("string"), F.lit("")))))

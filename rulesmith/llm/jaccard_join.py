@@ -31,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, durable, mix64, own_id, rows_of, shuffle_width
-from .graph import components
+from .common import WORD, WORD_BYTES, counted, durable, fresh, mix64, own_id, row_hash, rows_of, shuffle_width
+from .graph import Links, components
 
 BLOCK = 128
 LEAF = 8
@@ -46,8 +46,10 @@ LEAST_BITS, MOST_BITS = 512, 1 << 20
 COUNTERS, SLICES = 1 << 20, 16
 #: Leading shingles in one bucket, about.
 BUCKET = 1_000_000
-FOUND = "kind int, bucket int, doc_id long, no_id boolean, n long, fp long, bits binary, sig binary, at binary, fps binary, sizes binary"
-ROUTED = "kind int, doc_id long, no_id boolean, n long, fp long, bits binary"
+#: Rows of two numbers that are broadcast, at most; more of them are joined by a shuffle.
+SMALL = 100_000
+FOUND = "kind int, bucket int, doc_id long, no_id boolean, row binary, n long, fp long, bits binary, sig binary, at binary, fps binary, sizes binary"
+ROUTED = "kind int, doc_id long, no_id boolean, row binary, n long, fp long, bits binary"
 
 
 class _Words(dict):
@@ -134,12 +136,12 @@ def _scan(batches: Iterator[pd.DataFrame], words: int, per_cent: int, buckets: i
         for k in range(0, len(batch), 2000):
             part = batch[k : k + 2000]
             rows, sets, fps = [], [], []
-            for doc, no_id, text in zip(part["doc_id"], part["no_id"], part["text"], strict=True):
+            for doc, no_id, row, text in zip(part["doc_id"], part["no_id"], part["row"], part["text"], strict=True):
                 own = shingles(text, words)
                 fp = fingerprint(own)
                 turn += 1
                 new = len(own) > 0 and fp not in known
-                rows.append((0, turn % buckets, doc, no_id, len(own), fp, bitmap(own, width_of(len(own))).to_bytes(width_of(len(own)) // 8, "big") if new else None, None, None, None, None))
+                rows.append((0, turn % buckets, doc, no_id, row, len(own), fp, bitmap(own, width_of(len(own))).to_bytes(width_of(len(own)) // 8, "big") if new else None, None, None, None, None))
                 if new:
                     known.add(fp)
                     sets.append(own)
@@ -156,7 +158,7 @@ def _scan(batches: Iterator[pd.DataFrame], words: int, per_cent: int, buckets: i
                 if bounds[b] < bounds[b + 1]:
                     own, place = sig[bounds[b] : bounds[b + 1]], at[bounds[b] : bounds[b + 1]]
                     used, local = np.unique(place, return_inverse=True)
-                    rows.append((1, b, 0, True, 0, 0, None, own.astype("<u8").tobytes(), local.astype("<u2").tobytes(), fps_array[used].tobytes(), sizes[used].tobytes()))
+                    rows.append((1, b, 0, True, None, 0, 0, None, own.astype("<u8").tobytes(), local.astype("<u2").tobytes(), fps_array[used].tobytes(), sizes[used].tobytes()))
             yield pd.DataFrame(rows, columns=columns)
 
 
@@ -212,7 +214,7 @@ def _route(batches: Iterator[pd.DataFrame], per_cent: int) -> Iterator[pd.DataFr
         edges = _members(sig, fp, size, per_cent)
         for k in range(0, len(edges), 50_000):
             part = edges[k : k + 50_000]
-            yield pd.DataFrame({"kind": 1, "doc_id": 0, "no_id": True, "n": part[:, 0], "fp": part[:, 1], "bits": None})
+            yield pd.DataFrame({"kind": 1, "doc_id": 0, "no_id": True, "row": None, "n": part[:, 0], "fp": part[:, 1], "bits": None})
 
 
 # --- signature trees ---
@@ -291,25 +293,6 @@ def tree(members: list[int], items: Items) -> Node:
     return level[0]
 
 
-class Links:
-    """Union-find over the sets of one task."""
-
-    def __init__(self, labels: list[int]):
-        self.up: dict[int, int] = {x: x for x in labels}
-        self.found: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.found.append((x, y))
-            self.up[max(a, b)] = min(a, b)
-
-
 def possible(bits: int, fewest_a: int, most_a: int, fewest_b: int, most_b: int) -> int:
     """Largest overlap of two sets, by the bits that both may have: each bit that only one has is a shingle outside."""
     return min(most_a - max(0, fewest_a - bits), most_b - max(0, fewest_b - bits))
@@ -422,71 +405,100 @@ def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]
 def _linked(blocks: DataFrame, width: int, per_cent: int, exact: bool) -> DataFrame:
     """(root, fp, label) of blocks (root, blocks, block, fp, n, own); equal labels in a root: reachable by links."""
     dealt = blocks.repartition(width, "root", "block").sortWithinPartitions("root", "block")
-    local = durable(dealt.mapInPandas(lambda x: _within(x, per_cent, exact), LOCAL))
+    seen = Observation()
+    local = durable(dealt.mapInPandas(lambda x: _within(x, per_cent, exact), LOCAL).observe(seen, F.count_if(F.col("blocks") > 1).alias("n")))
+    n = seen.get["n"]
     large = local.where("blocks > 1")
-    if large.isEmpty():
+    if not n:
         return local.select("root", "fp", "label")
     across = lambda pairs: pairs.repartition(width, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(lambda x: _across(x, per_cent, exact), "a long, b long")
     side = lambda rows, s, i, j: rows.select("root", F.lit(s).alias("side"), i.alias("i"), j.alias("j"), "label", "n", "own")
     # Neighbouring blocks.
     chain = side(large.where("block < blocks - 1"), 0, F.col("block"), F.col("block") + 1).unionByName(side(large.where("block > 0"), 1, F.col("block") - 1, F.col("block")))
-    edges = durable(across(chain))
-    merged = components(edges)
     relabel = lambda rows, by: rows.join(by.select(F.col("node").alias("label"), F.col("root").alias("to")), "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-    large = durable(relabel(large, merged))
+    large = durable(relabel(large, components(across(chain))))
     # Then what isn't in its cluster's largest component, against all of the cluster.
     sizes = large.groupBy("root", "label").agg(F.count("*").alias("m"))
-    top = sizes.groupBy("root").agg(F.max(F.struct("m", "label"))["label"].alias("top"), F.count("*").alias("pieces"))
-    split = large.join(top.where("pieces > 1"), "root")
-    if not split.isEmpty():
-        minor = split.where("label <> top")
-        count = minor.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("asks"))
-        asking = minor.join(count, "root").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("asks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        asked = split.join(count, "root").withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
+    of_root = sizes.groupBy("root").agg(F.max(F.struct("m", "label"))["label"].alias("top"), F.sum("m").alias("all"), F.max("m").alias("most"), F.count("*").alias("pieces"))
+    pieces, n = _small(of_root.where("pieces > 1").select("root", "top", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("long").alias("asks")))
+    if n:
+        split = large.join(pieces, "root")
+        asking = split.where("label <> top").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("asks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        asked = split.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)))
         pairs = side(asking, 0, F.col("i"), F.col("j")).unionByName(side(asked, 1, F.col("i"), F.col("j")))
-        last = durable(across(pairs))
-        large = relabel(large, components(last))
+        large = relabel(large, components(across(pairs)))
     return local.where("blocks = 1").select("root", "fp", "label").unionByName(large.select("root", "fp", "label"))
 
 
-def _blocked(rows: DataFrame) -> DataFrame:
-    """rows of a root with their block and the root's number of blocks; roots of one row are left."""
-    sizes = rows.groupBy("root").agg(F.count("*").alias("held")).where("held > 1").select("root", F.ceil(F.col("held") / BLOCK).cast("long").alias("blocks"))
-    return rows.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+def _small(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows with their number, to be broadcast if they are SMALL at most."""
+    out, n = counted(rows)
+    return (F.broadcast(out) if n <= SMALL else out), n
+
+
+def _blocked(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows of a root with their block and the root's number of blocks; roots: the root of each row."""
+    large, _ = _small(roots.groupBy("root").agg(F.count("*").alias("held")).where(F.col("held") > BLOCK).select("root", F.ceil(F.col("held") / BLOCK).cast("long").alias("blocks")))
+    return rows.join(large, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
 
 
 def _candidates(members: DataFrame, maps: DataFrame, width: int, per_cent: int) -> DataFrame:
     """Edges (a, b) whose components hold every link: what the bitmaps of a group's trees can't part."""
     grouped = members.join(maps, "fp").select(F.col("name").alias("root"), "fp", "n", "own")
-    return _linked(_blocked(grouped), width, per_cent, False).where("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b")).distinct()
-
+    return _linked(_blocked(grouped, members.select(F.col("name").alias("root"))), width, per_cent, False).where("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b"))
 
-def jaccard_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row; component_id: the smallest id reachable by links.
 
-    docs needs doc_id and text; two texts link at 100 * intersection >= per_cent * union of their shingle sets.
-    """
+def classified(docs: DataFrame, words: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n_shingles, fp) of each row, and (fp, first, label) of each class of equal sets; equal labels: reachable by links."""
     rows = rows_of(docs)
+    rows = rows.withColumn("row", row_hash(own_id(), F.col("text")))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = shuffle_width(docs)
     buckets = int(max(width, size / 6 * (100 - per_cent) / 100 // BUCKET))
     rare = rarity(rows, words)
     scanned = rows.mapInPandas(lambda x: _scan(x, words, per_cent, buckets, rare), FOUND)
     found = durable(scanned.repartition(buckets, "bucket").mapInPandas(lambda x: _route(x, per_cent), ROUTED))
-    perdoc = found.where("kind = 0").select(own_id(), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
+    perdoc = found.where("kind = 0").select(own_id(), "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("fp"))
     members = found.where("kind = 1").select(F.col("n").alias("name"), "fp").distinct()
     maps = found.where("bits is not null").groupBy("fp").agg(F.max("n").alias("n"), F.max("bits").alias("own"))
-    clusters = durable(components(_candidates(members, maps, width, per_cent)))
+    clusters = durable(components(_candidates(members, maps, width, per_cent)).select(F.col("node").alias("fp"), "root"))
     firsts = perdoc.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
-    wanted = _blocked(clusters.select(F.col("node").alias("fp"), "root")).join(firsts, "fp")
+    wanted = _blocked(clusters, clusters).join(firsts, "fp")
     texts = rows.select(own_id().alias("own"), "text").join(wanted, F.col("own").eqNullSafe(F.col("first")))
     blocks = texts.select("root", "blocks", "block", "fp", "text").mapInPandas(lambda x: _sets(x, words), "root long, blocks long, block long, fp long, n long, own binary")
     linked = _linked(blocks, width, per_cent, True).select("fp", "label")
-    labelled = firsts.join(linked, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_class = labelled.join(smallest, "label").select("fp", "component_id")
+    return perdoc, firsts.join(linked, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row; component_id: the smallest id reachable by links.
+
+    docs needs doc_id and text; two texts link at 100 * intersection >= per_cent * union of their shingle sets.
+    """
+    perdoc, classes = classified(docs, words, per_cent)
+    smallest = classes.groupBy("label").agg(F.min("first").alias("component_id"))
+    by_class = classes.join(smallest, "label").select("fp", "component_id")
     return perdoc.join(by_class, "fp", "left").select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def without_copies(docs: DataFrame, words: int = 5, per_cent: int = 80) -> DataFrame:
+    """docs with one row of each group of links: the one of least id (null ids last), then of least hash of id and text.
+
+    Rows without words link with nothing and all stay. Rows are told apart by id and text together, so a row stays
+    whose id stands on a copy as well. All columns stay.
+    """
+    perdoc, classes = classified(docs, words, per_cent)
+    own = perdoc.where("fp is not null").groupBy("fp", "row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n")).alias("least")
+    kept = own.groupBy("fp").agg(least).join(classes.select("fp", "label"), "fp").groupBy("label").agg(F.min("least").alias("least"))
+    row, stays, rows = fresh(docs, "row", "stays", "rows")
+    stay = kept.select(F.col("least")["row"].alias(row), F.lit(True).alias(stays), F.col("least")["n"].alias(rows))
+    marked = docs.withColumn(row, row_hash(F.col("doc_id").cast("long"), F.col("text"))).join(stay, row, "left")
+    wordless = ~F.coalesce(F.col("text").cast("string").rlike(WORD), F.lit(False))
+    single = marked.where(wordless | (F.col(stays) & (F.col(rows) == 1))).select(*docs.columns)
+    repeated = marked.where(~wordless & F.col(stays) & (F.col(rows) > 1)).groupBy(row).agg(F.first(F.struct(*docs.columns)).alias(stays))
+    return single.unionByName(repeated.select(f"{stays}.*"))
+
+
 def op2(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs, words=3, per_cent=90)

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from rulesmith.llm import jaccard_join, mixing, packing, secrets, toxicity
 from rulesmith.llm.common import shared_folder
@@ -20,14 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of links stays; rows without an id or words are no copies; of rows that share an id, one stays."""
-    found = jaccard_join.jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("__repeated"))
-    marked = kept.join(repeated, "doc_id", "left")
-    once = marked.where("__repeated").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__k = 1")
-    return marked.where("__repeated is null").select(*docs.columns).unionByName(once.select(*docs.columns))
+    """One document of each group of links stays; rows without words are no copies. Rows are dropped, not ids."""
+    return jaccard_join.without_copies(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

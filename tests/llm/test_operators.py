@@ -135,6 +135,37 @@ def test_jaccard_components(spark, docs, monkeypatch, words, per_cent, block):
     assert Counter(tuple(r) for r in got.collect()) == _links(every, words, per_cent)
 
 
+def test_components(spark, monkeypatch):
+    from rulesmith.llm import graph
+
+    rng = np.random.default_rng(6)
+    edges = [(k, k + 1) for k in range(300)] + [(1000, 1001 + k) for k in range(200)] + [tuple(x) for x in rng.integers(2000, 2400, (150, 2)).tolist()] + [(7, 7)]
+    links = graph.Links()
+    for a, b in edges:
+        if a != b:
+            links.up.setdefault(a, a)
+            links.up.setdefault(b, b)
+            links.join(a, b)
+    for tail in (0, 20, 16_384):  # by rounds alone, rounds and one task, one task
+        monkeypatch.setattr(graph, "TAIL", tail)
+        got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+        assert got.keys() == links.up.keys()
+        assert all(got[got[x]] == got[x] for x in got)
+        assert len({(got[x], links.root(x)) for x in got}) == len(set(got.values())) == len({links.root(x) for x in got})
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_copies_are_dropped_by_row(spark):
+    unlike = [" ".join(f"{x}{k}" for k in range(30)) for x in "abcd"]
+    a, b, c, d = unlike
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, d), (9, c + " more"), (None, d), (None, "only here " + b[::-1]), (4, ""), (4, ""), (4, None), (8, b + " x"), (8, b + " x"), (11, "twice the same row"), (11, "twice the same row")]
+    held = [(k, t, None, None, "clash", n) for n, (k, t) in enumerate(rows)]
+    left = jaccard_join.without_copies(spark.createDataFrame(held, SCHEMA))
+    assert left.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+    want = [(3, a), (5, b), (7, c), (7, d), (None, "only here " + b[::-1]), (4, ""), (4, ""), (4, None), (11, "twice the same row")]
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(want)
+
+
 def test_sharding_law(spark, docs):
     out = sharding.op5(docs).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, *_ in DOCS)
@@ -444,10 +475,9 @@ def test_pipeline(spark):
             bad = {r["doc_id"] for r in toxicity.op4(held, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
             assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in before} - bad
         if name == "jaccard_join":
-            kept = Counter()
-            for (d, _, c), n in _links([(r["doc_id"], r["text"]) for r in before], 5, 80).items():
-                kept[d] += n if d == c else 0
-            assert {r["doc_id"] for r in rows} == {d for d, n in kept.items() if n}
+            own = [(r["doc_id"], r["text"]) for r in before]
+            firsts = {d for d, _, c in _links(own, 5, 80) if d == c}  # ids are unique here
+            assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(x for x in own if x[0] in firsts)
         if name == "secrets":
             assert len(rows) == len(before) and secrets.op8(out).where("n_access > 0 or n_hex > 0").count() == 0
         if name == "mixing":

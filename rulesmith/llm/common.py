@@ -61,11 +61,6 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parts_for(df: DataFrame, bytes_: float, target: float = 24e6) -> int:
-    """Partitions that keep each one near target bytes, and at least one for each shuffle slot."""
-    return int(max(shuffle_width(df), np.ceil(bytes_ / target)))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix) over uint64 arrays."""
     with np.errstate(over="ignore"):

@@ -1,7 +1,8 @@
 """Lexical retrieval packing: windows filled from a sharded BM25 inverted index.
 
 Every document becomes token ids; each run of a whole window stands alone, and the rest of the document is one
-retrieval unit. Units are dealt by lexical sketch to bounded shards. In a shard a BM25 index (its document
+retrieval unit. Units are dealt to bounded shards by two terms that win races weighted by rarity, so that units with much
+in common are likely to meet. In a shard a BM25 index (its document
 frequencies and mean length are those of the whole corpus) returns the unused neighbours of each seed unit, which
 greedily fill the seed's window: neighbours that fit go in whole, best first, and the best of the others is cut so
 that the window is exactly full; its rest seeds the next window. What a shard has left over at its end is cut into
@@ -14,8 +15,9 @@ stays null in the pieces.
 
 from __future__ import annotations
 
-import base64
 import heapq
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,39 +27,77 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import concat_ranges, durable, mix64, own_id, parts_for, rows_of
+from .common import concat_ranges, durable, mix64, own_id, rows_of
 
 WINDOW = 2048
 END_ID = 1
 #: Units in one shard's index at most; a fuller partition is worked off in several indexes.
 SHARD_UNITS = 4096
+#: A term that at least one in so many units of a shard holds has a dense row.
+DENSE = 10
 K1, B_LEN = 1.2, 0.75
-RAW = "doc_id long, no_id boolean, start long, length long, doc_tokens long, ids binary, sketch long, sequence_id long"
+RAW = "doc_id long, no_id boolean, start long, length long, doc_tokens long, ids binary, sequence_id long"
 PIECES = "doc_id long, no_id boolean, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE of path (ranks as base64 lines) with the pattern published beside it."""
-    import public_tokenizers
-    import tiktoken
+#: White space in the sense of the vocabulary's pattern, and from what length on a run of it is cut out by hand.
+SPACES, LONG_RUN = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 10_000
+_long_run = re.compile(f"[{SPACES}]{{{LONG_RUN},}}")
+
+
+class Encoder:
+    """Ids of texts as the byte-level BPE in a tokenizers file gives them, added tokens included, without its post-processing.
+
+    The merging is done by another library from the same vocabulary, which is four times as fast; its matcher fails on
+    very long white space, so long runs are cut out here by the pattern's own rule: all of a run is one piece but for its last
+    character, which belongs to the word after it.
+    """
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as held:
+            said = json.load(held)
+        # Byte-level vocabularies write a byte as its own character where that is printable, others as characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.added = {x["content"]: x["id"] for x in said["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in word): k for word, k in said["model"]["vocab"].items() if word not in self.added}
+        self._core = tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self._split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
+
+    def _plain(self, text: str) -> list[int]:
+        if len(text) < LONG_RUN:
+            return self._core.encode_ordinary(text)
+        at, out = 0, []
+        for run in _long_run.finditer(text):
+            out += self._core.encode_ordinary(text[at : run.start()])
+            at = run.end() - (run.end() < len(text))
+            out += self._core.encode_single_piece(text[run.start() : at].encode())
+        return out + self._core.encode_ordinary(text[at:])
+
+    def __call__(self, text: str) -> list[int]:
+        if self._split is None or not any(x in text for x in self.added):
+            return self._plain(text)
+        return [i for k, x in enumerate(self._split.split(text)) for i in ([self.added[x]] if k % 2 else self._plain(x))]
 
 
-def default_ranks() -> str:
-    """Ranks of the vocabulary that byte_bpe_50k.json also holds: both give the same ids."""
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def default_vocabulary() -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _cut(batches: Iterator[pd.DataFrame], path: str, window: int) -> Iterator[pd.DataFrame]:
     """Token ids of each document as pieces; whole windows already have their sequence, others -1."""
     columns = [c.split()[0] for c in RAW.split(", ")]
-    encode = encoder(path).encode_ordinary
+    encode = encoder(path)
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 33
     for batch in batches:
@@ -67,12 +107,10 @@ def _cut(batches: Iterator[pd.DataFrame], path: str, window: int) -> Iterator[pd
             n = len(ids)
             whole = n - n % window
             for at in range(0, whole, window):
-                rows.append((doc, no_id, at, window, n, ids[at : at + window].tobytes(), 0, sequence * 2))
+                rows.append((doc, no_id, at, window, n, ids[at : at + window].tobytes(), sequence * 2))
                 sequence += 1
             if whole < n:
-                rest = ids[whole:]
-                sketch = int(mix64(rest.astype(np.uint64) + np.uint64(0x9E37)).min() >> np.uint64(1))
-                rows.append((doc, no_id, whole, n - whole, n, rest.tobytes(), sketch, -1))
+                rows.append((doc, no_id, whole, n - whole, n, ids[whole:].tobytes(), -1))
             size += n
             if size > 2_000_000:
                 yield pd.DataFrame(rows, columns=columns)
@@ -96,8 +134,31 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"term": np.concatenate([[-2, -1], seen]), "n": np.concatenate([[total, units], count[seen]])})
 
 
+def sketch(ids: np.ndarray, races: np.ndarray) -> list[int]:
+    """The term that wins each race: the chance that two units share it is what they have in common, by weight of terms."""
+    own = np.unique(ids)
+    return own[races[:, own].argmin(axis=1)].tolist()
+
+
+def races(idf: np.ndarray, n: int = 2) -> np.ndarray:
+    """Times of all terms in n races, by hash; the heavier a term (its idf squared), the sooner it is likely to be there."""
+    terms = np.arange(len(idf), dtype=np.uint64)
+    drawn = [(mix64(terms * np.uint64(2) + np.uint64(1) + mix64(np.array([k + 1], dtype=np.uint64))) >> np.uint64(11)).astype(float) / 2**53 for k in range(n)]
+    return -np.log(np.maximum(drawn, 1e-300)) / np.maximum(idf, 1e-6) ** 2
+
+
+def _sketched(batches: Iterator[pd.DataFrame], idf: np.ndarray) -> Iterator[pd.DataFrame]:
+    times = races(idf)
+    for batch in batches:
+        won = [sketch(np.frombuffer(x, dtype="<u4"), times) for x in batch["ids"]]
+        yield batch.assign(near=[x[0] for x in won], near_2=[x[1] for x in won])
+
+
 class Shard:
-    """BM25 over the units of one shard; units leave it as windows use them."""
+    """BM25 over the units of one shard; units leave it as windows use them.
+
+    Postings of terms that many units hold are dense rows, whose part of all scores is one product; the others are lists.
+    """
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, docs, weights = [], [], []
@@ -111,19 +172,48 @@ class Shard:
             self.query.append(term)  # a seed asks with all its distinct terms
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
-        self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
-        bounds = np.searchsorted(term[order], np.arange(int(term.max()) + 2))
-        self.begin, self.end = bounds[:-1], bounds[1:]
+        term, self.docs, self.weights = term[order], np.concatenate(docs)[order], np.concatenate(weights)[order]
+        bounds = np.searchsorted(term, np.arange(int(term[-1]) + 2))
+        self.begin, self.count = bounds[:-1], np.diff(bounds)
+        common = np.flatnonzero(self.count * DENSE >= len(ids))
+        self.row = np.full(len(self.count), -1)
+        self.row[common] = np.arange(len(common))
+        dense, asks = np.zeros((len(common), len(ids)), dtype=np.float32), np.zeros((len(ids), len(common)), dtype=np.float32)
+        at = self.row[term] >= 0
+        dense[self.row[term[at]], self.docs[at]] = self.weights[at]
+        asks[self.docs[at], self.row[term[at]]] = 1
+        self.common = asks @ dense  # of each seed with each unit
+        self.column, self.unit = np.arange(len(ids)), np.arange(len(ids))  # units and their places in the postings
         self.unused = np.ones(len(ids), dtype=bool)
+        self.left = len(ids)
+
+    def use(self, unit: int) -> None:
+        """Takes a unit out; once half of the units are gone, out of the postings too."""
+        self.unused[self.column[unit]] = False
+        self.left -= 1
+        if 2 * self.left < len(self.unit) and len(self.unit) > 64:
+            column, stays = np.cumsum(self.unused) - 1, self.unused[self.docs]
+            before = np.concatenate([[0], np.cumsum(stays)])
+            self.begin, self.count = before[self.begin], before[self.begin + self.count] - before[self.begin]
+            self.docs, self.weights = column[self.docs[stays]], self.weights[stays]
+            self.common, self.unit = self.common[:, self.unused], self.unit[self.unused]
+            self.column[self.unit] = np.arange(len(self.unit))
+            self.unused = self.unused[self.unused]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """Of the units still in the postings (self.unit); used ones have 0."""
+        q = self.query[seed]
+        rare = q[self.row[q] < 0]
+        at = concat_ranges(self.begin[rare], self.count[rare])
+        score = self.common[seed] + np.bincount(self.docs[at], weights=self.weights[at], minlength=len(self.unused))
+        score[~self.unused] = 0
+        return score
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused units that share a term with the seed, best first; ties by place in the shard."""
-        q = self.query[seed]
-        at = concat_ranges(self.begin[q], self.end[q] - self.begin[q])
-        score = np.bincount(self.docs[at], weights=self.weights[at], minlength=len(self.unused))
-        score[~self.unused] = 0
+        score = self.scores(seed)
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        return self.unit[found[np.argsort(-score[found], kind="stable")]]
 
 
 def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -134,36 +224,43 @@ def fill(ids: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> It
     sizes = np.array([len(x) for x in ids])
     waiting = list(range(len(ids)))  # in order, for seeds and for windows whose neighbours run out
     heapq.heapify(waiting)
+    used = np.zeros(len(ids), dtype=bool)
 
     def next_unused() -> int | None:
-        while waiting and not shard.unused[waiting[0]]:
+        while waiting and used[waiting[0]]:
             heapq.heappop(waiting)
         return waiting[0] if waiting else None
 
+    def use(k: int) -> None:
+        used[k] = True
+        shard.use(k)
+
     rest: tuple[int, int, int] | None = None
     while True:
         if rest is None:
             if (seed := next_unused()) is None:
                 return
-            shard.unused[seed] = False
+            use(seed)
             rest = (seed, 0, int(sizes[seed]))
         own, room = [rest], window - (rest[2] - rest[1])
         seed, rest, too_long = rest[0], None, None
         if room > 0:
-            for k in shard.neighbours(seed):
-                size = int(sizes[k])
-                if size <= room:
-                    shard.unused[k] = False
-                    own.append((int(k), 0, size))
-                    room -= size
-                    if not room:
-                        break
-                elif too_long is None:
-                    too_long = int(k)
+            score, units = shard.scores(seed), shard.unit
+            size = sizes[units]
+            while room > 0:
+                k = int(np.where(size <= room, score, 0).argmax())  # the best that fits
+                if not score[k] or size[k] > room:
+                    break
+                score[k] = 0
+                own.append((int(units[k]), 0, int(size[k])))
+                use(own[-1][0])
+                room -= own[-1][2]
+            if room > 0 and score.any():
+                too_long = int(units[score.argmax()])
         while room > 0 and (too_long is not None or (too_long := next_unused()) is not None):
             k, too_long = too_long, None
             take = min(room, int(sizes[k]))
-            shard.unused[k] = False
+            use(k)
             own.append((k, 0, take))
             room -= take
             if take < sizes[k]:
@@ -219,14 +316,14 @@ def _pack(batches: Iterator[pd.DataFrame], idf: np.ndarray, mean: float, window:
         yield from work(pd.concat(held))
 
 
-def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, ids, sequence_id, offset); ids are little-endian 32-bit numbers.
 
-    docs needs doc_id and text. ranks is the path of a byte-level BPE. Memory of a task: one shard's units.
+    docs needs doc_id and text. vocabulary is the path of a byte-level BPE. Memory of a task: one shard's units.
     """
-    path = ranks or default_ranks()
+    path = vocabulary or default_vocabulary()
     raw = durable(rows_of(docs).mapInPandas(lambda batches: _cut(batches, path, window), RAW))
-    units = raw.where("sequence_id < 0")
+    units = raw.where("sequence_id < 0").select("doc_id", "no_id", "start", "doc_tokens", "ids")
     # One number for each id of the vocabulary, which bounds what the driver gets.
     seen = dict(units.select("ids").mapInPandas(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     n_units, total = seen.pop(-1, 0), seen.pop(-2, 0)
@@ -234,9 +331,11 @@ def pack(docs: DataFrame, ranks: str | None = None, window: int = WINDOW) -> Dat
     df[list(seen)] = list(seen.values())
     idf = np.log1p((n_units - df + 0.5) / (df + 0.5))
     mean = max(1.0, total / max(1, n_units))
-    parts = max(1, -(-n_units // (SHARD_UNITS * 3 // 4)), parts_for(units, total * 4) if n_units > SHARD_UNITS else 1)
-    dealt = units.repartitionByRange(parts, "sketch", "doc_id", "start").sortWithinPartitions("sketch", "doc_id", "start")
-    packed = dealt.select("doc_id", "no_id", "start", "doc_tokens", "ids").mapInPandas(lambda batches: _pack(batches, idf, mean, window), PIECES)
+    parts = max(1, -(-n_units // (SHARD_UNITS * 3 // 4)), -(-total * 4 // 24_000_000))
+    near = units.mapInPandas(lambda batches: _sketched(batches, idf), "doc_id long, no_id boolean, start long, doc_tokens long, ids binary, near long, near_2 long")
+    order = ("near", "near_2", "doc_id", "start")
+    dealt = near.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    packed = dealt.drop("near", "near_2").mapInPandas(lambda batches: _pack(batches, idf, mean, window), PIECES)
     alone = raw.where("sequence_id >= 0").select("doc_id", "no_id", "start", "length", "doc_tokens", "ids", "sequence_id", F.lit(0).cast("long").alias("offset"))
     return alone.unionByName(packed).select(own_id(), "start", "length", "doc_tokens", "ids", "sequence_id", "offset")
 

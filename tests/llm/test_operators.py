@@ -53,7 +53,6 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     want = Counter((d, np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for d, x, *_ in DOCS)
     rows = packing.pack(docs).collect()
     # Repeated rows share an id: their pieces are taken together by what they hold.
@@ -72,6 +71,53 @@ def test_packing_round_trip(docs):
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
 
 
+def test_ids_are_those_of_the_vocabulary():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    t, own = Tokenizer.from_file(path), packing.encoder(path)
+    odd = ["<|endoftext|>", "a<|endoftext|> b <|endoftext|><|endoftext|>\n <|endoftext", "\x00\x1c\x85 \u3000x", "'s 'LL ſ ﬁ 日本語 \U0001f600\u200d"]
+    for n in (packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1):
+        odd += [" " * n, f"x{' ' * n}y", "\n" * n + "'s", " \t" * (n // 2) + " 1", f"{' ' * n}<|endoftext|>{chr(0x3000) * n}z"]
+    for x in odd:
+        assert list(own(x)) == t.encode(x, add_special_tokens=False).ids, x[:30]
+    rng = np.random.default_rng(1)
+    points = np.concatenate([np.arange(1, 0x3100), rng.integers(0x3100, 0xD800, 3000), rng.integers(0xE000, 0x110000, 5000)])
+    for k in range(0, len(points), 7):
+        x = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}." for c in points[k : k + 7])
+        assert own(x) == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_texts_of_a_million_signs(spark):
+    texts = [" " * 10**6, "\n" * 10**6, "a" * 10**6, "lorem" * 200_000]
+    rows = [(k, x, "s", "en", "clash", k) for k, x in enumerate(texts)]
+    pieces = packing.op1(spark.createDataFrame(rows, SCHEMA)).collect()
+    ids = [len(packing.encoder(packing.default_vocabulary())(x)) + 1 for x in texts]
+    assert [sum(r["length"] for r in pieces if r["doc_id"] == k) for k in range(4)] == ids
+    found = toxicity.op4(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(found) == 4 and all(r["predicted"] == 0 for r in found)
+
+
+def test_bm25_scores():
+    """Against the formula, spelled out; units leave the postings half-way."""
+    rng = np.random.default_rng(9)
+    ids = [rng.zipf(1.4, rng.integers(20, 300)) % 900 for _ in range(150)]
+    n, mean = len(ids), np.mean([len(x) for x in ids])
+    df = Counter(t for own in ids for t in set(own.tolist()))
+    idf = {t: np.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    tf = [Counter(own.tolist()) for own in ids]
+    score = lambda q, d: sum(idf[t] * tf[d][t] * (packing.K1 + 1) / (tf[d][t] + packing.K1 * (1 - packing.B_LEN + packing.B_LEN * len(ids[d]) / mean)) for t in tf[q] if t in tf[d])
+    shard = packing.Shard(ids, np.array([idf.get(t, 0.0) for t in range(900)]), mean)
+    left = set(range(n))
+    for k in rng.permutation(n).tolist():
+        shard.use(k)
+        left.remove(k)
+        want = {d: score(k, d) for d in left}
+        found = shard.neighbours(k).tolist()
+        assert set(found) == {d for d, x in want.items() if x}
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(found, found[1:], strict=False))
+
+
 def test_packing_prefers_neighbours():
     rng = np.random.default_rng(3)
     topics = [rng.integers(k * 1000, k * 1000 + 200, (6, 600)) for k in range(4)]
@@ -88,8 +134,8 @@ def test_packing_asks_with_all_terms():
     idf, mean = rng.uniform(0.5, 6, 400), 120.0
     shard = packing.Shard(ids, idf, mean)
     for seed in range(10):
-        shard.unused[:] = True
-        shard.unused[seed] = False
+        shard = packing.Shard(ids, idf, mean)
+        shard.use(seed)
         # One of each term and equal lengths: the weight of a shared term is its idf.
         score = [sum(idf[list(set(ids[seed]) & set(own))]) if k != seed else 0 for k, own in enumerate(ids)]
         assert shard.neighbours(seed).tolist() == sorted((k for k in range(60) if score[k]), key=lambda k: -score[k])
@@ -230,7 +276,21 @@ def test_token_rollup(spark, docs, tmp_path):
     assert roll.commit("one", batch) and not roll.commit("one", batch)
     assert roll.commit("two", spark.createDataFrame([("a", "en", "1", 5, 9), ("a", "en", "1", 7, None)], schema))
     assert roll.commit("none", batch.limit(0))
-    assert {tuple(r) for r in roll.totals().collect()} == {("a", "en", "1", 1, 9), (None, None, "1", 1, 0)}
+    totals = lambda: {tuple(r) for r in roll.totals().collect()}
+    assert totals() == {("a", "en", "1", 1, 9), (None, None, "1", 1, 0)}
+    assert roll.compact() and roll.compact() is None
+    assert totals() == {("a", "en", "1", 1, 9), (None, None, "1", 1, 0)} and not roll.commit("one", batch)
+    roll.prune()
+    assert not roll.commit("one", batch) and roll.commit("three", spark.createDataFrame([("b", "en", "1", None, 2)], schema))
+    assert totals() == {("a", "en", "1", 1, 9), (None, None, "1", 1, 0), ("b", "en", "1", 1, 2)}
+    assert roll.compact() and totals() == {("a", "en", "1", 1, 9), (None, None, "1", 1, 0), ("b", "en", "1", 1, 2)}
+
+
+def test_token_counts(docs):
+    from tokenizers import Tokenizer
+
+    bpe = Tokenizer.from_file(packing.default_vocabulary())
+    kinds = {"words-1": lambda x: len(_words(x)), "byte_bpe_50k-1": lambda x: len(bpe.encode(x, add_special_tokens=False).ids)}
     want, seen = Counter(), Counter()
     least = {}
     for d, t, *_ in DOCS:
@@ -238,9 +298,10 @@ def test_token_rollup(spark, docs, tmp_path):
             least[t or ""] = min(least.get(t or "", d), d)
     for d, t, s, lang, *_ in DOCS:
         if d is None or d == least[t or ""]:
-            want[s, lang] += len(_words(t))
-            seen[s, lang] += 1
-    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in token_counts.op7(docs).collect() if r["tokenizer"] == "words-1"}
+            for name, own in kinds.items():
+                want[s, lang, name] += own((t or "").strip(" \t\n\v\f\r"))
+                seen[s, lang, name] += 1
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in token_counts.op7(docs).collect()}
     assert got == {k: (seen[k], want[k]) for k in seen}
 
 

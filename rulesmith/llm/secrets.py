@@ -5,7 +5,8 @@ an OR of ANDs. The index holds postings (trigram, text) for the trigrams that an
 the texts whose postings intersect as it asks; only they are verified with the rule's regular expression. Rules
 without mandatory trigrams scan every text.
 
-Texts are keyed by a 64-bit hash: equal texts share their postings, and a collision can only add candidates.
+Rows are keyed by 128 bits of their id and text, so copies of one text under many ids are keys of their own; rows that share both
+are the same row and have the same spans.
 
 Defined results: a null text is an empty one; empty texts have no spans; repeated rows and null ids each get their
 result; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -19,7 +20,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import durable, fresh, let, row_hash
 
 #: Fixed values: (kind, pattern, group whose length counts, least length of that group). Base kinds first.
 RULES = (
@@ -158,14 +159,21 @@ def none() -> Column:
     return F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
 
 
+def spanned(docs: DataFrame, into: str, rules=RULES) -> DataFrame:
+    """docs with the spans of every row in the column into."""
+    key, text, own = fresh(docs, "key", "whole", "rules")
+    texts = docs.withColumns({key: row_hash(F.col("doc_id").cast("long"), F.col("text")), text: F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    gated = {kind for kind, pattern, *_ in rules if trigram_query(pattern)}
+    # Cut off here, so that the join deals out rows by key alone and Spark can split the rows of one key.
+    found = durable(candidates(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), rules))
+    joined = texts.join(found.select(F.col("key").alias(key), F.col("rules").alias(own)), key, "left")
+    spans = [F.when(F.array_contains(own, kind), find(F.col(text), kind, *rest)).otherwise(none()) if kind in gated else find(F.col(text), kind, *rest) for kind, *rest in rules]
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.sort_array(F.flatten(F.array(*spans))).alias(into))
+
+
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """doc_id and spans: array of (start, rank, end, kind) by start, then by the rules' order."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    gated = {kind for kind, pattern, *_ in rules if trigram_query(pattern)}
-    joined = texts.join(candidates(texts, rules), "key", "left")
-    text = F.col("text")
-    spans = [F.when(F.array_contains("rules", kind), find(text, kind, *rest)).otherwise(none()) if kind in gated else find(text, kind, *rest) for kind, *rest in rules]
-    return joined.select("doc_id", F.sort_array(F.flatten(F.array(*spans))).alias("spans"))
+    return spanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "spans", rules).select("doc_id", "spans")
 
 
 def op8(docs: DataFrame) -> DataFrame:
@@ -177,11 +185,9 @@ def op8(docs: DataFrame) -> DataFrame:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by [kind]; overlapping spans by the first of them. All rows and columns stay."""
-    texts = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = texts.select("__key", F.col("text")).where("text is not null").select(F.col("__key").alias("doc_id"), "text")
-    spans = scan(found).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__key")).agg(F.first("spans").alias("__spans"))
+    (spans,) = fresh(docs, "spans")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(F.concat(s["out"], F.substr("text", s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"), x["end"].alias("at")))
     done = lambda s: F.concat(s["out"], F.substr("text", s["at"] + 1, F.length("text")))
-    masked = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.aggregate("__spans", start, step, done))
-    return texts.join(spans, "__key", "left").withColumn("text", masked).select(*docs.columns)
+    masked = F.when(F.size(spans) == 0, F.col("text")).otherwise(F.aggregate(spans, start, step, done))
+    return spanned(docs, spans).withColumn("text", masked).select(*[F.col(f"`{c}`") for c in docs.columns])

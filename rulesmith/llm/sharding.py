@@ -5,8 +5,8 @@ many rows of input partition v go to each cell. The matrix has the law it has un
 partitions are split again and again, and how many rows of each cell come from the first half is drawn from the multivariate
 hypergeometric law. Every split has a seed of its own, so each task draws its own row and nobody holds the matrix; the driver
 only splits until a part has under LIMIT rows (the bound of numpy's generator). Each partition permutes its rows' cells
-locally, the rows are exchanged once, and each cell permutes what it got. A slot is the cell's first slot plus the place in
-the cell, so no task sees more than a cell.
+locally, the rows are exchanged once, and each cell permutes what it got, in ranges of its random numbers where it has many
+rows. A slot is the cell's first slot plus the place in the cell, so no task sees more than a range of a cell.
 
 Law: `rows`, counts of any two shards at most one apart. Defined results: null ids, null texts and repeated rows are
 rows like others; an empty table gives no rows; all columns of the input stay, except that shard and slot replace input
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_width
+from .common import fresh, shuffle_width
 
 CELL_ROWS = 5000
 MAX_CELLS = 1 << 14
@@ -33,7 +33,7 @@ LIMIT = 10**9
 
 
 def cells_each(total: int, shards: int, least: int = 1) -> int:
-    """Cells of each shard: CELL_ROWS rows each, but MAX_CELLS at most and `least` at least over all shards."""
+    """Cells of each shard: CELL_ROWS rows each, but MAX_CELLS at most (the vector that every task has) and `least` at least over all shards."""
     return max(1, min(MAX_CELLS // shards, max(-(-total // (shards * CELL_ROWS)), -(-least // shards))))
 
 
@@ -106,7 +106,7 @@ def matrix_row(v: int, parts: list[tuple[int, int, np.ndarray]], starts: np.ndar
     return part[2]
 
 
-def _deal(batches: Iterator[pa.RecordBatch], parts: list, starts: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], parts: list, starts: np.ndarray, seed: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     v = TaskContext.get().partitionId()
     to, at = None, 0
     for batch in batches:
@@ -118,7 +118,7 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: list, starts: np.ndarray, se
         if at + n > len(to):
             raise RuntimeError("the input's partitions changed between two reads; write it to a table first")
         order = rng.integers(0, 1 << 62, n)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + n]), pa.array(order)], names=[*batch.schema.names, "__cell", "__order"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + n]), pa.array(order)], names=[*batch.schema.names, *names])
         at += n
     if at != (len(to) if to is not None else int(starts[v + 1] - starts[v]) if v + 1 < len(starts) else 0):
         raise RuntimeError("the input's partitions changed between two reads; write it to a table first")
@@ -127,21 +127,33 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: list, starts: np.ndarray, se
 def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     """docs with shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
-    docs must give the same partitions whenever it is read, as tables and files do; a change is noticed and raised.
+    docs must give the same rows in the same order in each partition whenever it is read, as tables and files do; write what
+    comes out of a shuffle to a table first. A change of the counts is noticed and raised.
     """
     docs = docs.drop("shard", "slot")
+    cell, order, sub, before = fresh(docs, "cell", "order", "sub", "before")
     # One number for each input partition, and one vector of cells for each LIMIT rows.
     found = dict(docs.select(F.spark_partition_id().alias("v")).groupBy("v").count().collect())
     starts = np.cumsum([0, *(found.get(v, 0) for v in range(max(found, default=-1) + 1))])
     total = int(starts[-1])
     each = cells_each(total, shards, 2 * shuffle_width(docs))
-    parts = top_parts(starts, cell_sizes(total, shards, each), seed)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__cell", T.IntegerType()), T.StructField("__order", T.LongType())])
-    sent = docs.mapInArrow(lambda batches: _deal(batches, parts, starts, seed), schema)
-    place = F.row_number().over(Window.partitionBy("__cell").orderBy("__order"))
-    sent = sent.withColumn("shard", F.expr(f"cast(__cell div {each} as int)"))
-    first = F.expr(f"({total // shards} + if(shard < {total % shards}, 1, 0)) * cast(__cell % {each} as bigint) div {each}")
-    return sent.withColumn("slot", (first + place - 1).cast("long")).drop("__cell", "__order")
+    sizes = cell_sizes(total, shards, each)
+    parts = top_parts(starts, sizes, seed)
+    schema = T.StructType([*docs.schema.fields, T.StructField(cell, T.IntegerType()), T.StructField(order, T.LongType())])
+    sent = docs.mapInArrow(lambda batches: _deal(batches, parts, starts, seed, [cell, order]), schema)
+    # Places in a cell go by random numbers; a cell of many rows is worked on in ranges of these, whose counts come first.
+    ranges = max(1, -(-int(sizes.max()) // CELL_ROWS))
+    sent = sent.withColumn(sub, F.expr(f"cast(shiftright(`{order}`, 31) * {ranges} div {1 << 31} as int)"))
+    if ranges > 1:
+        counts = sent.groupBy(cell, sub).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(cell).orderBy(sub).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        sent = sent.join(counts.select(cell, sub, upto.alias(before)), [cell, sub])
+    else:
+        sent = sent.withColumn(before, F.lit(0).cast("long"))
+    place = F.col(before) + F.row_number().over(Window.partitionBy(cell, sub).orderBy(order))
+    sent = sent.withColumn("shard", F.expr(f"cast(`{cell}` div {each} as int)"))
+    first = F.expr(f"({total // shards} + if(shard < {total % shards}, 1, 0)) * cast(`{cell}` % {each} as bigint) div {each}")
+    return sent.withColumn("slot", (first + place - 1).cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Media columns: copies of images, cropped or edited ones too, by local descriptors.
 
 Corners are found at several scales; each gets an orientation (its patch's intensity centroid) and 256 binary tests of
-smoothed intensities, turned by it; their number grows with the image's area. Every block of query images is compared with
-every block of images, each corner with each by Hamming distance, so all that differ in few enough bits meet: the work grows
-with the product of both. An image is a copy of a query image when enough corners agree on one scale, turn and shift.
+smoothed intensities, turned by it; their number grows with the image's area. Hamming tables join them: in each of TABLES
+tables the corners that agree in the table's share of the bits meet, and those that differ in few enough of all bits are kept.
+Every block of query images meets every block of images, and both stand in the tables of one task; what goes on from there
+is verified. An image is a copy of a query image when enough corners agree on one scale, turn and shift.
 
 Equal pixels are one class before anything else, so groups of exact copies of any size cost one image. A stated set
 of query images is searched against all images.
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import concat_ranges, durable
 
 SCALES = (1.0, 0.75, 0.5)
 CORNERS, RADIUS, BITS = 12, 11, 256
@@ -30,8 +31,10 @@ CORNERS, RADIUS, BITS = 12, 11, 256
 AREA = 64 * 64
 #: Bytes of corners in a block of images and of query images.
 BLOCK, ASKED_BLOCK = 2e6, 8e6
+#: Tables, whose keys share out the bits; pairs of corners that are compared at once.
+TABLES, CANDIDATES = 12, 1 << 20
 #: Bits that two descriptors of one corner may differ in; corners that must agree; places of an agreement's bins.
-MOST_DIFFERENT, LEAST_AGREE, SHIFT_BIN, TURN_BIN = 24, 4, 8.0, 30.0
+MOST_DIFFERENT, LEAST_AGREE, SHIFT_BIN, TURN_BIN = 24, 5, 8.0, 30.0
 #: The tests: pairs of places around a corner, from a rule.
 _TESTS = np.clip(np.random.default_rng(256).normal(0, 4.5, (BITS, 2, 2)), -RADIUS * 0.68, RADIUS * 0.68)
 _disc = np.add.outer(np.arange(-7, 8) ** 2, np.arange(-7, 8) ** 2) <= 49
@@ -117,44 +120,52 @@ def agreement(query: np.ndarray, image: np.ndarray, met: np.ndarray) -> int:
     return max((min(len(a), len(b)) for a, b in bins.values()), default=0)
 
 
-def _near(asked: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in asked (n, 4) and in words (4, m) of all pairs that differ in MOST_DIFFERENT bits at most."""
-    rows, columns = [], []
-    for at in range(0, words.shape[1], 2048):
-        own = words[:, at : at + 2048]
-        half = np.bitwise_count(asked[:, 0, None] ^ own[0]) + np.bitwise_count(asked[:, 1, None] ^ own[1])
-        found = np.flatnonzero(half <= MOST_DIFFERENT)
-        if len(found):
-            r, c = np.divmod(found, own.shape[1])
-            rest = np.bitwise_count(asked[r, 2] ^ own[2, c]).astype(np.int64) + np.bitwise_count(asked[r, 3] ^ own[3, c])
-            near = half.ravel()[found] + rest <= MOST_DIFFERENT
-            rows.append(r[near])
-            columns.append(c[near] + at)
-    return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+def _keys(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The key of each descriptor in each table: every TABLES-th of the ordered bits."""
+    weigh = 1 << np.arange(BITS // TABLES, dtype=np.int64)
+    return np.stack([bits[:, order[t::TABLES][: len(weigh)]] @ weigh for t in range(TABLES)])
+
+
+def _near(asked: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in asked and in held (bits of descriptors) of the pairs that share a key in a table and differ in MOST_DIFFERENT bits at most."""
+    order = np.argsort(np.abs(held.mean(axis=0) - 0.5), kind="stable")  # each table gets its share of the bits that tell most
+    packed = lambda x: np.ascontiguousarray(np.packbits(x, axis=1)).view("<u8")
+    p, q, met = packed(asked), packed(held), []
+    for own, other in zip(_keys(asked, order), _keys(held, order), strict=True):
+        by = np.argsort(other, kind="stable")
+        first, last = (np.searchsorted(other[by], own, side) for side in ("left", "right"))
+        upto = np.cumsum(last - first)
+        for part in np.split(np.arange(len(own)), np.searchsorted(upto, np.arange(CANDIDATES, upto[-1], CANDIDATES))):
+            n = last[part] - first[part]
+            r, c = np.repeat(part, n), by[concat_ranges(first[part], n)]
+            half = np.bitwise_count(p[r, :2] ^ q[c, :2]).sum(axis=1) <= MOST_DIFFERENT
+            r, c = r[half], c[half]
+            near = np.bitwise_count(p[r] ^ q[c]).sum(axis=1) <= MOST_DIFFERENT
+            met.append(r[near] * len(held) + c[near])
+    return np.divmod(np.unique(np.concatenate(met)), len(held))
 
 
 def _search(asked: pd.DataFrame, images: pd.DataFrame) -> pd.DataFrame:
     """(q, class_id, n) of all images of a block that agree with a query image of a block in enough corners."""
-    held = [np.frombuffer(x, dtype=CORNER) for x in images["corners"]]
-    sizes = np.array([len(x) for x in held], dtype=np.int64)
+    corners = lambda df, c: [np.frombuffer(x, dtype=CORNER) for x in df[c]]
+    left, right = corners(asked, "qc"), corners(images, "corners")
     found = []
-    if sizes.sum():
-        owner, first = np.repeat(np.arange(len(held)), sizes), np.cumsum(sizes) - sizes
-        bits = np.unpackbits(np.concatenate([x["bits"] for x in held]), axis=1)
-        order = np.argsort(np.abs(bits.mean(axis=0) - 0.5), kind="stable")  # bits that tell most come first
-        packed = lambda x: np.ascontiguousarray(np.packbits(x[:, order], axis=1)).view("<u8")
-        words, classes = np.ascontiguousarray(packed(bits).T), images["class_id"].tolist()
-        for q, raw in zip(asked["q"].tolist(), asked["qc"], strict=True):
-            query = np.frombuffer(raw, dtype=CORNER)
-            r, c = _near(packed(np.unpackbits(query["bits"], axis=1)), words)
-            by = np.argsort(owner[c], kind="stable")
-            r, c = r[by], c[by]
-            image, at = np.unique(owner[c], return_index=True)
-            edges = [*at.tolist(), len(c)]
-            for k, a, b in zip(image.tolist(), edges[:-1], edges[1:], strict=True):
-                if b - a >= LEAST_AGREE and classes[k] != q:  # fewer corners met than must agree: no copy
-                    n = agreement(query, held[k], np.stack([r[a:b], c[a:b] - first[k]], axis=1))
-                    found += [(q, classes[k], n)] if n >= LEAST_AGREE else []
+    if sum(map(len, left)) and sum(map(len, right)):
+        bits = lambda own: np.unpackbits(np.concatenate([x["bits"] for x in own]), axis=1)
+        r, c = _near(bits(left), bits(right))
+        sizes = [np.array([len(x) for x in own], dtype=np.int64) for own in (left, right)]
+        of = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        first = [np.cumsum(n) - n for n in sizes]
+        pair = of[0][r] * len(right) + of[1][c]
+        by = np.argsort(pair, kind="stable")
+        r, c = r[by], c[by]
+        pairs, at, n = np.unique(pair[by], return_index=True, return_counts=True)
+        q, classes = asked["q"].tolist(), images["class_id"].tolist()
+        for k, a, m in zip(pairs[n >= LEAST_AGREE].tolist(), at[n >= LEAST_AGREE].tolist(), n[n >= LEAST_AGREE].tolist(), strict=True):  # fewer corners met than must agree: no copy
+            i, j = divmod(k, len(right))
+            if q[i] != classes[j]:
+                agreed = agreement(left[i], right[j], np.stack([r[a : a + m] - first[0][i], c[a : a + m] - first[1][j]], axis=1))
+                found += [(q[i], classes[j], agreed)] if agreed >= LEAST_AGREE else []
     return pd.DataFrame(found, columns=["q", "class_id", "n"]).astype(np.int64)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulesmith.functions.predicates import not_blank
+from rulesmith.operators.order import running
 
 
 def ngrams(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
@@ -20,16 +21,18 @@ def token_freq(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("freq"))
 
 
-def token_order(tokens: DataFrame) -> DataFrame:
-    """(token, freq, ord): rarest first from 0; tokens of one row, or of over half of the rows, are left."""
-    rows = tokens.select("key").distinct().agg((F.count("*") / 2).alias("half"))
+def token_order(tokens: DataFrame, of_rows: float = 0.5) -> DataFrame:
+    """(token, freq, ord): rarest first from 0; tokens of one row, or of over a share of the rows (over two tables together: 0.25), are left."""
+    rows = tokens.select("key").distinct().agg((F.count("*") * of_rows).alias("half"))
     kept = token_freq(tokens).crossJoin(rows).where("freq > 1 and freq <= half")  # one row
-    return kept.select("token", "freq", (F.row_number().over(Window.orderBy("freq", "token")) - 1).alias("ord"))
+    at = F.concat(F.lpad(F.col("freq").cast("string"), 20, "0"), F.lit(" "), "token")  # sorts as (freq, token)
+    ranked = running(kept.select("token", "freq", at.alias("at"), F.lit(1).cast("long").alias("one")), "at", ["one"])
+    return ranked.select("token", "freq", F.col("before_one").alias("ord"))
 
 
-def derived(tokens: DataFrame, rare: int = 10) -> DataFrame:
+def derived(tokens: DataFrame, rare: int = 10, of_rows: float = 0.5) -> DataFrame:
     """(key, ids): the most frequent token's place first, then the rare rarest ones."""
-    placed = tokens.join(token_order(tokens), "token").groupBy("key").agg(F.sort_array(F.collect_set("ord")).alias("ords"))
+    placed = tokens.join(token_order(tokens, of_rows), "token").groupBy("key").agg(F.sort_array(F.collect_set("ord")).alias("ords"))
     return placed.select("key", F.concat(F.array(F.element_at("ords", -1)), F.slice("ords", 1, rare)).alias("ids"))
 
 
@@ -55,6 +58,21 @@ def dimension_blocks(df: DataFrame, key: str, vector: str, digits: int = 1, top:
     return parts.join(shared, "token").select("key", "token", "freq", rank.alias("rank")).where(F.col("rank") <= top)
 
 
+def cross_blocks(left: DataFrame, right: DataFrame, key: str, vector: str, digits: int = 1, top: int = 5) -> DataFrame:
+    """dimension_blocks over two tables, with side 0 or 1; a token counts that both sides have."""
+    rows = lambda df, side: df.select(F.struct(F.lit(side).alias("side"), F.col(key).alias("key")).alias("key"), F.col(vector).alias("v"))
+    parts = rows(left, 0).unionByName(rows(right, 1)).select("key", F.posexplode("v").alias("pos", "v")).select("key", F.concat_ws(":", "pos", F.floor(F.col("v").cast("double") * 10**digits).cast("long").cast("string")).alias("token"))
+    shared = parts.groupBy("token").agg(F.count("*").alias("freq"), F.count_distinct(F.col("key.side")).alias("sides")).where("sides = 2")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("freq"), "token"))
+    return parts.join(shared, "token").select("key", "token", "freq", rank.alias("rank")).where(F.col("rank") <= top).select(F.col("key.side").alias("side"), F.col("key.key").alias("key"), "token", "freq", "rank")
+
+
+def cross_derived(left: DataFrame, right: DataFrame, key: str, left_text: str, right_text: str, n: int = 3, rare: int = 10) -> DataFrame:
+    """(side, key, ids): derived() of two columns in one order of tokens, for rules that compare them."""
+    own = lambda df, side, text: ngrams(df.select(F.struct(F.lit(side).alias("side"), F.col(key).alias("key")).alias("key"), F.col(text).alias("text")), "key", "text", n)
+    return derived(own(left, 0, left_text).unionByName(own(right, 1, right_text)), rare, 0.25).select(F.col("key.side").alias("side"), F.col("key.key").alias("key"), "ids")
+
+
 def row_sentence(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with sentence: the columns joined by #, nulls as empty; a row of nulls only has an empty sentence."""
     whole = F.concat_ws("#", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulesmith.operators.order import bounds, bucket, running
+
 LEAST_ROWS = 5
+#: Rows that measures of many columns are taken from, at most.
+SAMPLE_ROWS = 5000
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -23,8 +27,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranks(c: str) -> DataFrame:
         per = own.groupBy(c).agg(F.sum("c").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return per.select(c, (before + (F.col("n") + 1) / 2).alias(f"r{c}"))
+        return running(per, c, ["n"]).select(c, (F.col("before_n") + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
     joined = own.join(ranks("x"), "x").join(ranks("y"), "y")
     n = F.sum("c").cast("double")
@@ -35,16 +38,83 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Tau-b from the table of distinct (x, y) with counts; meant for columns of few values (or a sample of rows)."""
+    """Tau-b of any number of rows, by merge counting.
+
+    Distinct x are numbered; on each level, pairs meet whose numbers share all bits above it and differ in its bit, so every pair
+    of different x meets on one level. There, running sums along y count concordant and discordant pairs: n log n in all.
+    """
     own = _pairs(df, x, y).groupBy("x", "y").agg(F.count("*").cast("double").alias("c"))
-    other = own.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("c").alias("c2"))
-    met = own.join(other, (F.col("x") < F.col("x2")) & (F.col("y") != F.col("y2")))
-    score = met.agg(F.coalesce(F.sum(F.col("c") * F.col("c2") * F.signum(F.col("y2") - F.col("y"))), F.lit(0.0)).alias("s"))
+    numbers = running(own.select("x").distinct().withColumn("one", F.lit(1).cast("long")), "x", ["one"]).select("x", F.col("before_one").alias("k"))
+    levels = max(1, (max(1, numbers.count()) - 1).bit_length())
+    each = own.join(numbers, "x").select("y", "c", "k", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    half = lambda bit: F.sum(F.when(F.expr("shiftright(k, level) & 1") == bit, F.col("c")).otherwise(0.0))
+    cells = each.groupBy("level", F.expr("shiftright(k, level + 1)").alias("part"), "y").agg(half(0).alias("l"), half(1).alias("r"))
+    cells = cells.withColumn("cuts", bucket(F.col("y"), bounds(own, "y")))
+    whole = cells.groupBy("level", "part").agg(F.sum("l").alias("l_all"))
+    under = running(cells, "y", ["l"], ["level", "part"], "cuts").join(whole, ["level", "part"])
+    score = under.agg(F.coalesce(F.sum(F.col("r") * (2 * F.col("before_l") + F.col("l") - F.col("l_all"))), F.lit(0.0)).alias("s"))
     ties = lambda c: own.groupBy(c).agg(F.sum("c").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(f"t{c}"))
     n = own.agg(F.sum("c").alias("n"))
     one = score.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(n)  # one row each
     all_pairs = F.col("n") * (F.col("n") - 1) / 2
-    return one.select((F.col("s") / F.sqrt((all_pairs - F.col("tx")) * (all_pairs - F.col("ty")))).alias("tau"))
+    return one.select((F.col("s") / F.nullif(F.sqrt((all_pairs - F.col("tx")) * (all_pairs - F.col("ty"))), F.lit(0.0))).alias("tau"))
+
+
+def _tau(x, y) -> float:
+    """Tau-b of two arrays without gaps, by merge counting."""
+    import numpy as np
+
+    n = len(x)
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    ties = lambda *cols: float(sum(k * (k - 1) / 2 for k in np.unique(np.stack(cols, 1), axis=0, return_counts=True)[1].tolist()))
+    discordant, width, a = 0, 1, np.unique(y, return_inverse=True)[1]
+    while width < n:
+        for at in range(0, n, 2 * width):
+            left, right = a[at : at + width], a[at + width : at + 2 * width]
+            discordant += int((len(left) - np.searchsorted(left, right, "right")).sum())
+            a[at : at + 2 * width] = np.sort(a[at : at + 2 * width], kind="stable")
+        width *= 2
+    pairs, tx, ty = n * (n - 1) / 2, ties(x), ties(y)
+    below = ((pairs - tx) * (pairs - ty)) ** 0.5
+    return (pairs - tx - ty + ties(x, y) - 2 * discordant) / below if below else float("nan")
+
+
+def combined(df: DataFrame, columns: list[str], label: str, rows: int = SAMPLE_ROWS, gaps: float = 0.3) -> DataFrame:
+    """(col, pearson, spearman, kendall): absolute correlations of each column with label over a sample of `rows` rows, those of least hash.
+
+    A label that is no number is coded by its order in the sample. Kendall is 0 for a column with a larger share of gaps; a measure
+    that can't be told is 0, as under LEAST_ROWS rows.
+    """
+    numeric = dict(df.dtypes)[label] not in ("string", "boolean")
+    own = df.where(F.col(label).isNotNull()).select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)], (F.col(label).cast("double") if numeric else F.col(label).cast("string")).alias("y"))
+    sample = own.orderBy(F.xxhash64(*own.columns), *own.columns).limit(rows)
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"c{k}").alias("x")) for k in range(len(columns))])
+
+    def measures(own):
+        import numpy as np
+        import pandas as pd
+
+        y = own["y"].to_numpy(dtype=float) if numeric else own["y"].rank(method="dense").to_numpy()
+        x = own["x"].to_numpy(dtype=float)
+        fine = ~(np.isnan(x) | np.isnan(y))
+        a, b = pd.Series(x[fine]), pd.Series(y[fine])
+        enough = len(a) >= LEAST_ROWS and a.nunique() > 1 and b.nunique() > 1
+        found = [a.corr(b), a.rank().corr(b.rank()), _tau(a.to_numpy(), b.to_numpy()) if 1 - fine.mean() <= gaps else 0.0] if enough else [0.0] * 3
+        return pd.DataFrame([[columns[own["k"].iloc[0]], *(0.0 if np.isnan(v) else abs(float(v)) for v in found)]], columns=["col", "pearson", "spearman", "kendall"])
+
+    return sample.select("y", F.inline(cells)).groupBy("k").applyInPandas(measures, "col string, pearson double, spearman double, kendall double")  # `rows` rows a group at most
+
+
+def sorted_columns(measured: DataFrame) -> DataFrame:
+    """combined() with place: by Spearman, then Pearson, then Kendall, largest first; ties by name. One row a column."""
+    return measured.withColumn("place", F.row_number().over(Window.orderBy(F.desc("spearman"), F.desc("pearson"), F.desc("kendall"), "col")))
+
+
+def chosen_columns(measured: DataFrame, k: int = 20) -> DataFrame:
+    """(col): columns among the k best by any of the three measures; ties by name."""
+    best = [measured.orderBy(F.desc(m), "col").limit(k).select("col") for m in ("pearson", "spearman", "kendall")]
+    return best[0].unionByName(best[1]).unionByName(best[2]).distinct()
 
 
 def top_columns(df: DataFrame, columns: list[str], label: str, k: int = 20) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulesmith.functions.predicates import Predicate, Rule, connected, constant_filter, not_blank
+from rulesmith.functions.predicates import Predicate, Ref, Rule, connected, constant_filter, not_blank
+from rulesmith.operators.blocking import jaccard_pairs
+from rulesmith.operators.order import running
 
 #: Column sets of one GROUPING SETS job; each row is expanded so many times before partial aggregation.
 BATCH = 48
@@ -33,15 +36,22 @@ def squares(df: DataFrame, sets: Iterable[frozenset[str]]) -> dict[frozenset[str
     return out
 
 
+def _squared(c: str) -> Column:
+    return F.col(c).cast("decimal(38,0)") * F.col(c)
+
+
 def pair_counts(df: DataFrame, lhs: list[str], rhs: str, where: Column | None = None) -> DataFrame:
-    """One row: n, xsupp, xysupp, support, confidence of lhs -> rhs over pairs of rows of one table."""
+    """One row: n, xsupp, xysupp, support, confidence of lhs -> rhs over pairs of rows of one table.
+
+    Counts that a long can't hold raise an error rather than wrap.
+    """
     rows = df if where is None else df.where(where)
     ok = rows
     for c in lhs:
         ok = ok.where(not_blank(F.col(c)))
     fine = ok.groupBy(*lhs, rhs).agg(F.count("*").alias("__c"))
-    by_x = fine.groupBy(*lhs).agg(F.sum("__c").alias("__cx"), F.sum(F.when(not_blank(F.col(rhs)), F.col("__c") * F.col("__c")).otherwise(0)).alias("__cxy"))
-    sums = by_x.agg(F.coalesce(F.sum(F.col("__cx") * F.col("__cx")), F.lit(0)).cast("long").alias("xsupp"), F.coalesce(F.sum("__cxy"), F.lit(0)).cast("long").alias("xysupp"))
+    by_x = fine.groupBy(*lhs).agg(F.sum("__c").alias("__cx"), F.sum(F.when(not_blank(F.col(rhs)), _squared("__c")).otherwise(0)).alias("__cxy"))
+    sums = by_x.agg(F.coalesce(F.sum(_squared("__cx")), F.lit(0)).cast("long").alias("xsupp"), F.coalesce(F.sum("__cxy"), F.lit(0)).cast("long").alias("xysupp"))
     return sums.crossJoin(rows.agg(F.count("*").alias("n"))).select("n", "xsupp", "xysupp", ratio("xysupp", F.col("n").cast("double") * F.col("n")).alias("support"), ratio("xysupp", F.col("xsupp")).alias("confidence"))
 
 
@@ -50,9 +60,11 @@ def ratio(top: str, bottom: Column) -> Column:
 
 
 def violations(df: DataFrame, lhs: list[str], rhs: str) -> DataFrame:
-    """(lhs, pairs): pairs of rows that agree on lhs and differ on rhs, by group, from counts alone."""
+    """(lhs, pairs): pairs of rows that agree on lhs and differ on rhs, by group, from counts alone. Blanks neither agree nor differ."""
+    for c in [*lhs, rhs]:
+        df = df.where(not_blank(F.col(c)))
     fine = df.groupBy(*lhs, rhs).agg(F.count("*").alias("__c"))
-    return fine.groupBy(*lhs).agg((F.sum("__c") * F.sum("__c") - F.sum(F.col("__c") * F.col("__c"))).alias("pairs")).where("pairs > 0")
+    return fine.groupBy(*lhs).agg(F.sum("__c").alias("__n"), F.sum(_squared("__c")).alias("__same")).select(*lhs, (_squared("__n") - F.col("__same")).cast("long").alias("pairs")).where("pairs > 0")
 
 
 def layer(df: DataFrame, columns: list[str], size: int) -> list[tuple[tuple[str, ...], str, int, int]]:
@@ -64,70 +76,244 @@ def layer(df: DataFrame, columns: list[str], size: int) -> list[tuple[tuple[str,
 
 # --- several tables ---
 
+SIGNS = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+#: Pairs of values (a, b) that a model takes for the same: (values of the left side in a, of the right side in b, threshold) -> (a, b).
+Model = Callable[[DataFrame, DataFrame, float], DataFrame]
+
+
+def jaccard_model(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Values whose 3-grams have a Jaccard similarity of at least threshold."""
+    text = lambda df, c: df.select(F.col(c).cast("string").alias("v")).where(not_blank(F.col("v"))).distinct()
+    every = text(left, "a").unionByName(text(right, "b")).distinct()
+    pairs = jaccard_pairs(every, "v", "v", threshold).select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(every.select(F.col("v").alias("a"), F.col("v").alias("b")))
+    return both.join(text(left, "a").withColumnRenamed("v", "a"), "a", "left_semi").join(text(right, "b").withColumnRenamed("v", "b"), "b", "left_semi")
+
+
+#: Models by name; a user adds models of their own.
+MODELS: dict[str, Model] = {"jaccard": jaccard_model}
+
+
+def _model(p: Predicate, models: dict[str, Model]) -> Model:
+    if p.model not in models:
+        raise ValueError(f"no model {p.model!r} for {p}")
+    return models[p.model]
 
-def _wide(tables: dict[int, DataFrame], tids: list[int], joins: list[Predicate], consts: list[Predicate]) -> DataFrame:
-    """Inner join of the variables of one side; columns are t{tid}.{column}, in one flat name each."""
+
+def _name(r: Ref) -> str:
+    return f"t{r.tid}__{r.column}"
+
+
+def holds(p: Predicate) -> Column:
+    """A comparison of two columns of one wide row; a blank compares with nothing."""
+    a, b = F.col(_name(p.left)), F.col(_name(p.right))
+    return not_blank(a) & not_blank(b) & F.coalesce(SIGNS[p.op](a, b), F.lit(False))
+
+
+def _wide(tables: dict[int, DataFrame], tids: list[int], joins: list[Predicate], consts: list[Predicate], used: set[Ref]) -> DataFrame:
+    """Inner join of the variables of one side; of each only the columns that are used, as t{tid}__{column}. Blanks join with nothing."""
+    used = used | {r for p in joins for r in (p.left, p.right)} | {p.left for p in consts}
 
     def named(t: int) -> DataFrame:
-        df = tables[t]
+        df, kinds = tables[t], dict(tables[t].dtypes)
         for p in consts:
             if p.left.tid == t:
-                df = df.where(constant_filter(F.col(p.left.column), dict(tables[t].dtypes)[p.left.column], p.op, str(p.right)))
-        return df.select(*[F.col(c).alias(f"t{t}__{c}") for c in df.columns])
-
-    out, bound = named(tids[0]), {tids[0]}
-    while len(bound) < len(tids):
-        t = next(t for t in tids if t not in bound and any(p.tids == {t, b} for p in joins for b in bound))
-        on = [F.col(f"t{p.left.tid}__{p.left.column}") == F.col(f"t{p.right.tid}__{p.right.column}") for p in joins if t in p.tids and p.tids <= bound | {t}]
-        out = out.join(named(t), on)
+                df = df.where(constant_filter(F.col(p.left.column), kinds[p.left.column], p.op, str(p.right)))
+        return df.select(*[F.col(r.column).alias(_name(r)) for r in sorted(used, key=str) if r.tid == t])
+
+    out, bound, left = named(tids[0]), {tids[0]}, list(joins)
+    while True:
+        for p in [p for p in left if p.tids <= bound]:
+            out = out.where(holds(p))
+            left.remove(p)
+        if len(bound) == len(tids):
+            return out
+        t = next(t for t in tids if t not in bound and any(p.tids <= bound | {t} and t in p.tids for p in left))
+        on = [p for p in left if t in p.tids and p.tids <= bound | {t}]
+        condition = holds(on[0])
+        for p in on[1:]:
+            condition = condition & holds(p)
+        out = out.join(named(t), condition)
+        left = [p for p in left if p not in on]
         bound.add(t)
-    inside = [p for p in joins if p.left.tid == p.right.tid]
-    for p in inside:
-        out = out.where(F.col(f"t{p.left.tid}__{p.left.column}") == F.col(f"t{p.right.tid}__{p.right.column}"))
-    return out
 
 
-def evaluate(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
+def _pairs(a: DataFrame, b: DataFrame, tests: dict[int, Predicate], models: dict[str, Model]) -> DataFrame:
+    """One row v: the pairs of rows that pass all tests, from counts c by columns k<i> of either side, none of them blank.
+
+    `!=` is all pairs less those of `=`; a model's pairs of values turn into equal ones; one order comparison is a running sum
+    along its values; further ones are compared between the distinct values that share the equal keys.
+    """
+    by = lambda kind: [k for k, p in tests.items() if p.op in kind]
+    if unequal := by(("!=",)):
+        k = unequal[0]
+        rest = {i: p for i, p in tests.items() if i != k}
+        every, same = _pairs(a, b, rest, models), _pairs(a, b, rest | {k: Predicate(tests[k].left, "=", tests[k].right)}, models)
+        return every.crossJoin(same.withColumnRenamed("v", "w")).select((F.col("v") - F.col("w")).alias("v"))  # one row each
+    for k in by(("similar", "ML")):
+        p, c = tests[k], f"k{k}"
+        alike = _model(p, models)(a.select(F.col(c).cast("string").alias("a")).distinct(), b.select(F.col(c).cast("string").alias("b")).distinct(), p.threshold or 0.0)
+        a = a.withColumn("a", F.col(c).cast("string")).join(alike, "a").drop("a", c).withColumnRenamed("b", c)
+        b = b.withColumn(c, F.col(c).cast("string"))
+    on = [f"k{k}" for k in by(("=", "similar", "ML"))]
+    orders = by(("<", "<=", ">", ">="))
+    of = lambda df, n: df.groupBy(*on, *[f"k{k}" for k in orders]).agg(F.sum("c").cast("decimal(38,0)").alias(n))
+    left, right = of(a, "ca"), of(b, "cb")
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0)).cast("decimal(38,0)").alias("v")
+    if len(orders) == 1:
+        k, op = f"k{orders[0]}", tests[orders[0]].op
+        none = F.lit(0).cast("decimal(38,0)")
+        small, large = ("ca", "cb") if op[0] == "<" else ("cb", "ca")
+        both = left.withColumn("cb", none).unionByName(right.withColumn("ca", none)).groupBy(*on, k).agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+        under = running(both, k, [small], on)
+        return under.agg(total((F.col(f"before_{small}") + (F.col(small) if "=" in op else F.lit(0))) * F.col(large)))
+    if not orders:
+        return (left.join(right, on) if on else left.crossJoin(right)).agg(total(F.col("ca") * F.col("cb")))  # without keys one row each
+    right = right.withColumnsRenamed({f"k{k}": f"r{k}" for k in orders})
+    passed = F.lit(True)
+    for k in orders:
+        passed = passed & SIGNS[tests[k].op](F.col(f"k{k}"), F.col(f"r{k}"))
+    joined = left.join(right, on) if on else left.join(right, passed)
+    return joined.where(passed).agg(total(F.col("ca") * F.col("cb")))
+
+
+def _sided(rule: Rule, names: dict[int, str], foreign) -> tuple[list[Predicate], list[list[int]]]:
+    """Equalities that join variables, and the variables of each side: one, or two that other predicates hold together.
+
+    Joins are the predicates on foreign edges, and equalities of different tables but for those between the right side's own variables.
+    """
+    edges = {frozenset(((a, x), (b, y))) for a, x, b, y in foreign}
+    ends = rule.rhs.tids
+    place = lambda r: (names[r.tid], r.column)
+    joins = [p for p in rule.lhs if not p.constant and p.op == "=" and (frozenset((place(p.left), place(p.right))) in edges or (p.tids != ends and (len(p.tids) == 1 or names[p.left.tid] != names[p.right.tid])))]
+    sides: list[list[int]] = []
+    bound = {t for p in [*rule.lhs, rule.rhs] for t in p.tids}
+    for t in [rule.rhs.left.tid, *([] if rule.rhs.constant else [rule.rhs.right.tid]), *sorted(bound)]:
+        if not any(t in side for side in sides):
+            sides.append(sorted(connected(joins, {t})))
+    if len(sides) > 2:
+        raise ValueError(f"variables that hang together with neither side: {rule}")
+    return joins, sides
+
+
+def evaluate(rule: Rule, tables: dict[str, DataFrame], foreign=(), row_size: str = "pairs", models: dict[str, Model] | None = None) -> DataFrame:
     """One row: row_size, xsupp, xysupp, support, confidence of a rule over any tables of its atoms.
 
-    The variables tied to the right side's left variable are one wide table, those tied to its right variable another; equalities
-    between the two are keys. Each side is reduced to counts by key; the sides meet on keys. Equal sides are counted once and squared.
+    Variables that are joined are one wide table. With one wide table its rows are counted: row_size has the joins and
+    constants, xsupp all premises, so a rule of joins only has both equal. With two, pairs of their rows are counted, from counts by
+    the compared columns; row_size is the product of both, or, with row_size="first", the pairs that pass the first premise between
+    them. A right side may compare with a constant. foreign: (table, column, table, column) edges that join. Blanks compare with nothing.
     """
+    models = MODELS if models is None else models
     names = {t: name for name, t in rule.tables}
     own = {t: tables[name] for t, name in names.items()}
-    left_tid, right_tid = rule.rhs.left.tid, rule.rhs.right.tid
+    joins, sides = _sided(rule, names, foreign)
     consts = [p for p in rule.lhs if p.constant]
-    eqs = [p for p in rule.lhs if not p.constant]
-    joins = [p for p in eqs if p.tids != {left_tid, right_tid} and (len(p.tids) == 1 or names[p.left.tid] != names[p.right.tid])]
-    sides = [sorted(connected(joins, {t})) for t in (left_tid, right_tid)]
-    if set(sides[0]) & set(sides[1]):
-        raise ValueError("both sides of the rule hang on the same variable")
-    keys = [p for p in eqs if p not in joins]
-    on_side = lambda p, k: p.left if p.left.tid in sides[k] else p.right
-    shape = lambda k: (sorted(names[t] for t in sides[k]), sorted(sorted(f"{names[r.tid]}.{r.column}" for r in (p.left, p.right)) for p in joins if p.tids <= set(sides[k])), sorted(f"{names[p.left.tid]}.{p.left.column}{p.op}{p.right}" for p in consts if p.left.tid in sides[k]), [f"{names[on_side(p, k).tid]}.{on_side(p, k).column}" for p in [*keys, rule.rhs]])
-
-    def counted(k: int) -> DataFrame:
-        inner = [p for p in joins if p.tids <= set(sides[k])]
-        wide = _wide(own, sides[k], inner, [p for p in consts if p.left.tid in sides[k]])
-        refs = [on_side(p, k) for p in [*keys, rule.rhs]]
-        cols = [F.col(f"t{r.tid}__{r.column}").alias(f"k{n}") for n, r in enumerate(refs)]
-        return wide.groupBy(*cols).agg(F.count("*").alias("c"))
-
-    kx, y = [f"k{n}" for n in range(len(keys))], f"k{len(keys)}"
-    whole = F.lit(True)
-    for c in kx:
-        whole = whole & not_blank(F.col(c))
-
-    def totals(left: DataFrame, right: DataFrame, on: list[str]) -> Column:
-        a = left.groupBy(*on).agg(F.sum("c").alias("ca"))
-        b = right.groupBy(*on).agg(F.sum("c").alias("cb"))
-        return (a.join(b, on) if on else a.crossJoin(b)).agg(F.coalesce(F.sum(F.col("ca").cast("decimal(38,0)") * F.col("cb")), F.lit(0)).cast("long").alias("v"))
+    tests = [p for p in rule.lhs if not p.constant and p not in joins]
+    rhs = rule.rhs
+    y_const = constant_filter(F.col(_name(rhs.left)), dict(own[rhs.left.tid].dtypes)[rhs.left.column], rhs.op, str(rhs.right)) if rhs.constant else None
+    used = {r for p in [*tests, rhs] for r in (p.left, p.right) if isinstance(r, Ref)}
+    wides = [_wide(own, side, [p for p in joins if p.tids <= set(side)], [p for p in consts if p.left.tid in side], {r for r in used if r.tid in side}) for side in sides]
+    measures = lambda one: one.select(*[F.col(c).cast("long").alias(c) for c in ("row_size", "xsupp", "xysupp")]).select("*", ratio("xysupp", F.col("row_size").cast("double")).alias("support"), ratio("xysupp", F.col("xsupp")).alias("confidence"))
+
+    def passing(wide: DataFrame, side: list[int]) -> DataFrame:
+        for p in tests:
+            if p.tids <= set(side):
+                wide = _alike(wide, p, models) if p.op in ("similar", "ML") else wide.where(holds(p))
+        return wide
+
+    if len(sides) == 1:
+        passed = passing(wides[0].withColumn("__x", F.lit(1)), sides[0]) if any(p.op in ("similar", "ML") for p in tests) else None
+        y = y_const if rhs.constant else (holds(rhs) if rhs.op in SIGNS else None)
+        if passed is None and y is not None:  # one scan
+            x = F.lit(True)
+            for p in tests:
+                x = x & holds(p)
+            return measures(wides[0].agg(F.count("*").alias("row_size"), F.count_if(x).alias("xsupp"), F.count_if(x & y).alias("xysupp")))
+        passed = passing(wides[0], sides[0])
+        met = passed.where(y) if y is not None else _alike(passed, rhs, models)
+        n = lambda df, c: df.agg(F.count("*").alias(c))
+        return measures(n(wides[0], "row_size").crossJoin(n(passed, "xsupp")).crossJoin(n(met, "xysupp")))  # one row each
+
+    across = [p for p in tests if not any(p.tids <= set(side) for side in sides)]
+    keys = dict(enumerate(across))
+    y, y_side = len(across), 0
+    compared = keys if rhs.constant else keys | {y: rhs}
+    if not rhs.constant and any(rhs.tids <= set(side) for side in sides):
+        raise ValueError(f"the right side compares within one side: {rule}")
+    # The left operand of a predicate may stand on either side; turned around, it stands on side 0.
+    turned = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+    facing = {k: p if p.left.tid in sides[0] else Predicate(p.right, turned.get(p.op, p.op), p.left, p.model, p.threshold) for k, p in compared.items()}
+    ref = lambda k, side: facing[k].left if side == 0 else facing[k].right
+
+    def counted(side: int) -> DataFrame:
+        wide = passing(wides[side], sides[side])
+        met = [y_const.alias("y")] if rhs.constant and side == y_side else []
+        return wide.groupBy(*[F.col(_name(ref(k, side))).alias(f"k{k}") for k in facing], *met).agg(F.count("*").alias("c"))
+
+    def shape(side: int) -> tuple:
+        own_tids, at = set(sides[side]), lambda r: f"{names[r.tid]}.{r.column}"
+        inner = [p for p in [*joins, *tests] if p.tids <= own_tids]
+        return sorted(names[t] for t in own_tids), sorted(f"{sorted([at(p.left), at(p.right)])}{p.op}{p.model}{p.threshold}" for p in inner), sorted(f"{at(p.left)}{p.op}{p.right}" for p in consts if p.left.tid in own_tids), [at(ref(k, side)) for k in facing]
 
+    alike, equal = shape(0) == shape(1), all(p.op == "=" for p in facing.values())
     a = counted(0)
-    b = a if shape(0) == shape(1) else counted(1)
-    size = totals(a, b, []).select(F.col("v").alias("row_size"))
-    x = totals(a.where(whole), b.where(whole), kx).select(F.col("v").alias("xsupp"))
-    fine = whole & not_blank(F.col(y))
-    xy = totals(a.where(fine), b.where(fine), [*kx, y]).select(F.col("v").alias("xysupp"))
-    one = size.crossJoin(x).crossJoin(xy)  # one row each
-    return one.select("row_size", "xsupp", "xysupp", ratio("xysupp", F.col("row_size").cast("double")).alias("support"), ratio("xysupp", F.col("xsupp")).alias("confidence"))
+    if alike and equal and row_size == "pairs" and not rhs.constant and not any(p.tids <= set(side) for p in tests for side in sides):  # one table of counts, three sums over it
+        kx = [f"k{k}" for k in keys]
+        x = F.lit(True)
+        for c in kx:
+            x = x & not_blank(F.col(c))
+        by_x = a.groupBy(*kx).agg(F.sum("c").alias("cx"), F.sum(F.when(not_blank(F.col(f"k{y}")), _squared("c")).otherwise(0)).alias("cxy"))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        sums = by_x.agg(zero(F.sum("cx")).alias("n"), zero(F.sum(F.when(x, _squared("cx")))).alias("xsupp"), zero(F.sum(F.when(x, F.col("cxy")))).alias("xysupp"))
+        return measures(sums.select(_squared("n").alias("row_size"), "xsupp", "xysupp"))
+    b = a if alike and not rhs.constant else counted(1)
+    whole = lambda df, ks: reduce(lambda d, k: d.where(not_blank(F.col(f"k{k}"))), ks, df)
+    count = lambda ks, l=a, r=b: _pairs(whole(l, ks), whole(r, ks), {k: facing[k] for k in ks}, models)
+    if row_size == "first":
+        first = next((k for k in keys if facing[k].op == "="), None)
+        size = count([] if first is None else [first])
+    elif any(p.tids <= set(side) for p in tests for side in sides):
+        n = [w.agg(F.count("*").cast("decimal(38,0)").alias(c)) for w, c in zip(wides, "nm", strict=True)]
+        size = n[0].crossJoin(n[1]).select((F.col("n") * F.col("m")).alias("v"))  # one row each
+    else:
+        size = count([])
+    xs = count(list(keys))
+    xys = count(list(keys), l=a.where("y")) if rhs.constant else count([*keys, y])
+    named = lambda df, c: df.withColumnRenamed("v", c)
+    return measures(named(size, "row_size").crossJoin(named(xs, "xsupp")).crossJoin(named(xys, "xysupp")))  # one row each
+
+
+def _alike(wide: DataFrame, p: Predicate, models: dict[str, Model]) -> DataFrame:
+    """Rows of a wide table whose two columns a model takes for the same."""
+    a, b = _name(p.left), _name(p.right)
+    values = lambda c, n: wide.select(F.col(c).cast("string").alias(n)).distinct()
+    pairs = _model(p, models)(values(a, "a"), values(b, "b"), p.threshold or 0.0)
+    return wide.join(pairs, (F.col(a).cast("string") == F.col("a")) & (F.col(b).cast("string") == F.col("b")), "left_semi")
+
+
+def rows_of_rule(rule: Rule, tables: dict[str, DataFrame], ids: dict[str, str], violating: bool = True, foreign=()) -> DataFrame:
+    """Row ids (t<tid> for each variable) of what meets the premises and breaks the right side, or meets it.
+
+    ids: the id column of each table. It gives pairs of rows by definition: take a limit of it, or count with evaluate().
+    """
+    names = {t: name for name, t in rule.tables}
+    own = {t: tables[name] for t, name in names.items()}
+    joins, sides = _sided(rule, names, foreign)
+    if any(p.op not in SIGNS for p in [*rule.lhs, rule.rhs]):
+        raise ValueError(f"models give no rows: {rule}")
+    consts = [p for p in rule.lhs if p.constant]
+    tests = [p for p in rule.lhs if not p.constant and p not in joins]
+    used = {r for p in [*tests, rule.rhs] for r in (p.left, p.right) if isinstance(r, Ref)} | {Ref(t, ids[names[t]]) for side in sides for t in side}
+    wides = [_wide(own, side, [p for p in joins if p.tids <= set(side)], [p for p in consts if p.left.tid in side], {r for r in used if r.tid in side}) for side in sides]
+    met = F.lit(True)
+    for p in tests:
+        met = met & holds(p)
+    out = wides[0].where(met) if len(wides) == 1 else wides[0].join(wides[1], met)
+    y = rule.rhs
+    if y.constant:
+        said, known = constant_filter(F.col(_name(y.left)), dict(own[y.left.tid].dtypes)[y.left.column], y.op, str(y.right)), not_blank(F.col(_name(y.left)))
+    else:
+        said, known = holds(y), not_blank(F.col(_name(y.left))) & not_blank(F.col(_name(y.right)))
+    out = out.where(known & ~said if violating else said)
+    return out.select(*[F.col(_name(Ref(t, ids[names[t]]))).alias(f"t{t}") for side in sides for t in side])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulesmith.functions.predicates import not_blank
+from rulesmith.operators.order import bounds, bucket, running
 
 ENUM_SIZE = 50
 SUPPORT_LIMIT = 0.95
@@ -32,7 +33,7 @@ def positions(df: DataFrame, column: str, row_id: str) -> DataFrame:
 
 def predicate_support(df: DataFrame, columns: list[str], limit: float = SUPPORT_LIMIT) -> DataFrame:
     """(col, n_distinct, pairs, ratio, support, keep): pairs = sum c(c-1); keep a column by its share of pairs."""
-    per = value_counts(df, columns).groupBy("col").agg(F.count("*").alias("n_distinct"), F.sum(F.col("cnt") * (F.col("cnt") - 1)).alias("pairs"))
+    per = value_counts(df, columns).groupBy("col").agg(F.count("*").alias("n_distinct"), F.sum(F.col("cnt").cast("decimal(38,0)") * (F.col("cnt") - 1)).cast("long").alias("pairs"))
     n = F.lit(df.count()).cast("double")
     ratio, support = F.col("pairs") / (n * (n - 1)), F.col("pairs") / (n * n)
     return per.select("col", "n_distinct", "pairs", ratio.alias("ratio"), support.alias("support"), ((F.col("pairs") > 0) & (ratio < limit) & (support < limit)).alias("keep"))
@@ -54,7 +55,8 @@ def y_candidates(df: DataFrame, enum_size: int = ENUM_SIZE) -> DataFrame:
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
     """(val, code): codes from 0 in the column's order."""
-    return df.where(not_blank(F.col(column))).select(F.col(column).alias("val")).distinct().select("val", (F.dense_rank().over(Window.orderBy("val")) - 1).alias("code"))
+    values = df.where(not_blank(F.col(column))).select(F.col(column).alias("val")).distinct()
+    return running(values.withColumn("one", F.lit(1).cast("long")), "val", ["one"]).select("val", F.col("before_one").alias("code"))
 
 
 def regex_share(df: DataFrame, column: str, pattern: str, rows: int = 100) -> float | None:
@@ -80,26 +82,44 @@ def avc_binned(df: DataFrame, column: str, label: str, bins: int = SMALL) -> Dat
     return df.where(F.col(column).isNotNull()).groupBy(place.alias("bin"), F.col(label).cast("string").alias("label")).agg(F.count("*").alias("w"))
 
 
-def entropy(counts: list[Column]) -> Column:
-    """Natural entropy of class weights."""
-    total = sum(counts[1:], counts[0])
-    part = lambda c: F.when(c > 0, -(c / total) * F.log(c / total)).otherwise(0.0)
-    return sum((part(c) for c in counts[1:]), part(counts[0]))
+def _xlogx(c: Column) -> Column:
+    return F.when(c > 0, c * F.log(F.greatest(c, F.lit(1e-300)))).otherwise(0.0)
+
+
+def split_gains(cells: DataFrame, keys: list[str], cuts: str) -> DataFrame:
+    """(keys, v, last, left, right, gain): for each value but the least of its keys, the entropy that the cut below it saves.
+
+    cells: keys, v, y, w (weight of the class y at the value v) and a column of buckets that ascend with v. gain is a sum over
+    the rows, in nats; left and right are the weights of both sides. A class changes sums only at values it has, so any number of them does.
+    """
+    ran = running(cells, "v", ["w"], [*keys, "y"], cuts)
+    of_class = cells.groupBy(*keys, "y").agg(F.sum("w").alias("t"))
+    before, rest = F.col("before_w"), lambda x: F.greatest(F.col("t") - x, F.lit(0.0))
+    steps = ran.join(of_class, [*keys, "y"]).groupBy(*keys, "v", cuts).agg(F.sum("w").alias("n"), F.sum(_xlogx(before + F.col("w")) - _xlogx(before)).alias("dl"), F.sum(_xlogx(rest(before + F.col("w"))) - _xlogx(rest(before))).alias("dr"))
+    whole = of_class.groupBy(*keys).agg(F.sum("t").alias("n_all"), F.sum(_xlogx(F.col("t"))).alias("s_all"))
+    placed = running(steps, "v", ["n", "dl", "dr"], keys, cuts).where("last is not null")
+    joined = placed.join(whole, keys) if keys else placed.crossJoin(whole)  # one row
+    left, right = F.col("before_n"), F.col("n_all") - F.col("before_n")
+    gain = (_xlogx(F.col("n_all")) - F.col("s_all")) - (_xlogx(left) - F.col("before_dl")) - (_xlogx(right) - F.col("s_all") - F.col("before_dr"))
+    return joined.select(*keys, "v", "last", left.alias("left"), right.alias("right"), gain.alias("gain"))
 
 
 def splits(df: DataFrame, column: str, label: str) -> DataFrame:
-    """(cut, gain): every cut `column < cut` between two distinct values, gain as a share of the weight of all rows."""
-    labels = [r[0] for r in df.select(F.col(label).cast("string")).distinct().orderBy(1).limit(ENUM_SIZE).collect() if r[0] is not None]
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("val")).agg(*[F.sum((F.col(label).cast("string") == x).cast("double")).alias(f"c{k}") for k, x in enumerate(labels)])
-    before = Window.orderBy("val").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy("val").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    names = [f"c{k}" for k in range(len(labels))]
-    summed = counts.select("val", F.lag("val").over(Window.orderBy("val")).alias("last"), *[F.sum(c).over(before).alias(f"l_{c}") for c in names], *[F.sum(c).over(every).alias(f"t_{c}") for c in names]).where("last is not null")
-    left, total = [F.col(f"l_{c}") for c in names], [F.col(f"t_{c}") for c in names]
-    right = [t - x for t, x in zip(total, left, strict=True)]
-    weigh = lambda cs: sum(cs[1:], cs[0])
-    gain = (entropy(total) * weigh(total) - entropy(left) * weigh(left) - entropy(right) * weigh(right)) / weigh(total)
-    return summed.select(((F.col("val") + F.col("last")) / 2).alias("cut"), gain.alias("gain"))
+    """(cut, gain): every cut `column < cut` between two distinct values, gain as a share of the weight of all rows; blank labels are left."""
+    counts = df.where(F.col(column).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(column).cast("double").alias("v"), F.col(label).cast("string").alias("y")).agg(F.count("*").cast("double").alias("w"))
+    cells = counts.withColumn("cuts", bucket(F.col("v"), bounds(counts, "v")))
+    made = split_gains(cells, [], "cuts")
+    return made.select(((F.col("v") + F.col("last")) / 2).alias("cut"), (F.col("gain") / (F.col("left") + F.col("right"))).alias("gain"))
+
+
+def value_gains(df: DataFrame, column: str, label: str) -> DataFrame:
+    """(val, gain): the entropy that a split into one value and all others saves, as a share of the weight of all rows."""
+    cells = df.where(not_blank(F.col(column)) & F.col(label).isNotNull()).groupBy(F.col(column).cast("string").alias("val"), F.col(label).cast("string").alias("y")).agg(F.count("*").cast("double").alias("w"))
+    of_class = cells.groupBy("y").agg(F.sum("w").alias("t"))
+    whole = of_class.agg(F.sum("t").alias("n"), F.sum(_xlogx(F.col("t"))).alias("s"))
+    own = cells.join(of_class, "y").groupBy("val").agg(F.sum("w").alias("m"), F.sum(_xlogx(F.col("w"))).alias("inside"), F.sum(_xlogx(F.col("t") - F.col("w")) - _xlogx(F.col("t"))).alias("change"))
+    gain = (_xlogx(F.col("n")) - F.col("s")) - (_xlogx(F.col("m")) - F.col("inside")) - (_xlogx(F.col("n") - F.col("m")) - F.col("s") - F.col("change"))
+    return own.crossJoin(whole).select("val", (gain / F.col("n")).alias("gain"))  # one row
 
 
 def gini_index(df: DataFrame, x: Column, y: Column) -> DataFrame:
@@ -111,6 +131,6 @@ def gini_index(df: DataFrame, x: Column, y: Column) -> DataFrame:
 
 
 def one_hot(df: DataFrame, enums: dict[str, list[str]], numbers: list[str], label: str) -> DataFrame:
-    """Training rows: numbers as doubles (NaN for null), `c=v` as 0 or 1, y as the label's place in its order."""
+    """Training rows: numbers as doubles (NaN for null), `c=v` as 0 or 1, y as the label's place in its order; rows without a label are left."""
     hot = [F.coalesce((F.col(c) == v).cast("int"), F.lit(0)).alias(f"{c}={v}") for c, vs in enums.items() for v in vs]
-    return df.join(F.broadcast(dictionary(df, label).where(F.col("code") < ENUM_SIZE).select(F.col("val").alias(label), F.col("code").alias("y"))), label).select(*[F.coalesce(F.col(c).cast("double"), F.lit(math.nan)).alias(c) for c in numbers], *hot, "y")
+    return df.join(dictionary(df, label).select(F.col("val").alias(label), F.col("code").cast("int").alias("y")), label).select(*[F.coalesce(F.col(c).cast("double"), F.lit(math.nan)).alias(c) for c in numbers], *hot, "y")

@@ -105,7 +105,7 @@ def table_rules(tables: dict[str, DataFrame], edges: list[tuple[str, str, str, s
 
 
 def training_rows(df: DataFrame, label: str, top: int = 20) -> tuple[DataFrame, list[str]]:
-    """Rows of numbers and one-hot columns `c=v`, and these columns: the numeric ones that rank best by correlation.
+    """Rows of numbers and one-hot columns `c=v`, and these columns: the numeric ones among the top by any of three correlations.
 
     Strings and booleans with fewer than HOT_VALUES values become one-hot columns; longer texts are left.
     """
@@ -117,8 +117,8 @@ def training_rows(df: DataFrame, label: str, top: int = 20) -> tuple[DataFrame,
         for r in stats.value_counts(df, enums).orderBy("col", "val").collect():
             values[r["col"]].append(r["val"])
     if len(numbers) > top:
-        coded = df.join(F.broadcast(stats.dictionary(df, label).select(F.col("val").alias(label), F.col("code").alias("__code"))), label)
-        numbers = [r["col"] for r in corr.top_columns(coded, numbers, "__code", top).collect()]
+        best = {r["col"] for r in corr.chosen_columns(corr.combined(df, numbers, label), top).collect()}
+        numbers = [c for c in numbers if c in best]
     hot = {f"{c}={v}": F.coalesce((F.col(f"`{c}`").cast("string") == v).cast("double"), F.lit(0.0)) for c, vs in values.items() for v in vs}
     rows = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in numbers], *[x.alias(c) for c, x in hot.items()], F.col(f"`{label}`").cast("string").alias(label))
     return rows, [*numbers, *hot]
@@ -131,7 +131,7 @@ def all_tree_rules(df: DataFrame, support: float, confidence: float, targets: li
         rows, features = training_rows(df, y)
         safe = {c: f"x{k}" for k, c in enumerate(features)}  # names of one-hot columns may hold any sign
         named = rows.select(*[F.col(f"`{c.replace('`', '``')}`").alias(s) for c, s in safe.items()], F.col(f"`{y}`").alias("__label"))
-        leaves = trees.grow(named, list(safe.values()), "__label")
+        leaves = trees.grow(named, list(safe.values()), "__label", least_share=confidence)
         back = {s: c for c, s in safe.items()}
         for leaf in leaves:
             leaf.cuts = [(back[c], op, v) for c, op, v in leaf.cuts]
@@ -163,9 +163,9 @@ def pair_tree_rules(df: DataFrame, key: str, lhs: list[str], rhs: str, others: l
     pairs = pair_rows(df, key, lhs, rhs, others)
     names = {f"x{k}": c for k, c in enumerate(others)}
     leaves = trees.grow(pairs.select(*[F.col(f"`{c}=`").alias(x) for x, c in names.items()], "y"), list(names), "y")
-    total, out = sum(sum(leaf.counts.values()) for leaf in leaves), []
+    total, out = sum(leaf.weight for leaf in leaves), []
     for leaf in leaves:
-        n, yes = sum(leaf.counts.values()), leaf.counts.get("1", 0)
+        n, yes = leaf.weight, leaf.counts.get("1", 0)
         if leaf.cuts and n and yes / total > support and yes / n > confidence:
             said = [f"t0.{names[x]}{'!=' if op == '<' else '='}t1.{names[x]}" for x, op, _ in trees.simplified(leaf.cuts)]
             out.append((" ^ ".join([*(f"t0.{c}=t1.{c}" for c in lhs), *said]) + f" -> t0.{rhs}=t1.{rhs}", yes / total, yes / n))

@@ -46,6 +46,20 @@ def rows_between(df: DataFrame, key: str, offset: int, limit: int, columns: list
     return df.orderBy(key).offset(offset).limit(limit).select(*(columns or df.columns))
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A folder of CSV files with a header."""
+    df.write.option("header", True).mode("overwrite").csv(path)
+
+
+def write_derived(ids: DataFrame, path: str) -> None:
+    """Keeps a derived column (key, ids) for later runs."""
+    ids.write.mode("overwrite").parquet(path)
+
+
+def read_derived(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 class Store:
     """Tasks and rules as Parquet tables under a root folder; names are ids, a task is deleted by a later mark."""
 
@@ -57,9 +71,9 @@ class Store:
 
     def save(self, task: str, support: float, confidence: float, state) -> None:
         for kind in ("minimal", "pruned", "samples"):
-            rules = [(task, ",".join(r.lhs), r.rhs, r.support, r.confidence, str(r)) for r in getattr(state, kind)]
+            rules = [(task, json.dumps(r.lhs), r.rhs, r.support, r.confidence, str(r)) for r in getattr(state, kind)]
             self._add(kind, rows=rules, schema="task string, lhs string, rhs string, support double, confidence double, ree string")
-        self._add("counts", [(task, ",".join(sorted(s)), f) for s, f in state.counts.items()], "task string, columns string, squares long")
+        self._add("counts", [(task, json.dumps(sorted(s)), f) for s, f in state.counts.items()], "task string, columns string, squares long")
         self._add("tasks", [(task, support, confidence, json.dumps(state.columns), state.rows, time.time_ns(), False)], "task string, support double, confidence double, columns string, n_rows long, at long, deleted boolean")
 
     def delete(self, support: float, confidence: float) -> None:
@@ -79,8 +93,10 @@ class Store:
         return self.tasks().orderBy(F.desc("at")).limit(1)
 
     def state(self, task: str):
-        from rulesmith.plans.lattice import State
+        """The whole state of a stored task: counts, rules, pruned nodes and samples."""
+        from rulesmith.plans.lattice import Mined, State
 
         row = self.tasks().where(F.col("task") == task).first()
-        counts = self.spark.read.parquet(f"{self.root}/counts").where(F.col("task") == task).collect()
-        return State(json.loads(row["columns"]), row["n_rows"], {frozenset(r["columns"].split(",")): r["squares"] for r in counts})
+        held = lambda name: self.spark.read.parquet(f"{self.root}/{name}").where(F.col("task") == task).collect()
+        rules = {kind: [Mined(tuple(json.loads(r["lhs"])), r["rhs"], r["support"], r["confidence"]) for r in held(kind)] for kind in ("minimal", "pruned", "samples")}
+        return State(json.loads(row["columns"]), row["n_rows"], {frozenset(json.loads(r["columns"])): r["squares"] for r in held("counts")}, **rules)

@@ -107,13 +107,13 @@ def combined(df: DataFrame, columns: list[str], label: str, rows: int = SAMPLE_R
 
 
 def sorted_columns(measured: DataFrame) -> DataFrame:
-    """combined() with place: by Spearman, then Pearson, then Kendall, largest first; ties by name. One row a column."""
-    return measured.withColumn("place", F.row_number().over(Window.orderBy(F.desc("spearman"), F.desc("pearson"), F.desc("kendall"), "col")))
+    """combined() with place: by Spearman, then Pearson, then Kendall, largest first; ties (to nine places) by name. One row a column."""
+    return measured.withColumn("place", F.row_number().over(Window.orderBy(*[F.desc(F.round(m, 9)) for m in ("spearman", "pearson", "kendall")], "col")))
 
 
 def chosen_columns(measured: DataFrame, k: int = 20) -> DataFrame:
     """(col): columns among the k best by any of the three measures; ties by name."""
-    best = [measured.orderBy(F.desc(m), "col").limit(k).select("col") for m in ("pearson", "spearman", "kendall")]
+    best = [measured.orderBy(F.desc(F.round(m, 9)), "col").limit(k).select("col") for m in ("pearson", "spearman", "kendall")]
     return best[0].unionByName(best[1]).unionByName(best[2]).distinct()
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rulesmith.functions.predicates import is_connected, ordered, parse_predicate, parse_rule
 from rulesmith.operators import corr, measure, stats
-from rulesmith.plans import catalogue, lattice, tasks, trees
+from rulesmith.plans import catalogue, lattice, rules, samples, tasks, trees  # noqa: F401
 from rulesmith.sources.store import Store, first_rows, read_csv, read_vectors
 
 

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: fixed lexicons, lexicons induced from labelled rows (whole words and word beginnings, split into
-several voters each) and patterns. A generative label model estimates each voter's accuracy on either class by
+Many voters look at a text: fixed lexicons, lexicons induced from labelled rows (whole words and word beginnings of each length,
+those that nearly always stand in toxic rows apart from the others) and patterns. A generative label model estimates each voter's accuracy on either class by
 expectation maximisation, with the given label as one more, noisy voter; what two voters share beyond the class
 (their correlation given the posterior) divides their say. A linear classifier over all lexicon entries and patterns
 is then fitted to the posterior labels and scores every text.
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from .common import own_id, rows_of
 
 FIT_ROWS = 20_000
-#: Entries of the induced lexicons together, at most; voters for each kind of entry.
-ENTRIES, VOTERS_A_KIND = 6000, 4
+#: Entries of the induced lexicons together, at most.
+ENTRIES = 6000
 #: Least share of toxic rows among the rows with an entry, and least log-likelihood ratio of that share against the
 #: share of all rows: with very many words, some of a few rows stand in toxic ones by chance.
 PURITY, EVIDENCE = 0.8, 14.0
+#: Share of toxic rows from which an entry stands in the lexicon of pure ones of its kind.
+PURE = 0.97
 PREFIXES = (4, 5, 6)
 #: How far a given label is trusted by the label model.
 LABEL_TRUST = 0.97
@@ -166,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarray]
         evidence = F.col("toxic") * F.log(F.col("pure") / base) + F.when(F.col("other") > 0, F.col("other") * F.log((1 - F.col("pure")) / (1 - base))).otherwise(0.0)
         induced = counted.withColumn("pure", pure).where(F.col("pure") >= PURITY).where(evidence >= EVIDENCE).orderBy(F.desc("toxic"), "entry").limit(ENTRIES).collect()
     for r in induced:
-        kinds.setdefault(r["entry"], f"{r['entry'][0]} {sum(map(ord, r['entry'])) % VOTERS_A_KIND}")
+        kinds.setdefault(r["entry"], f"{'word' if r['entry'][0] == '=' else 'beginning of ' + r['entry'][0]}, {'pure' if r['pure'] >= PURE else 'mixed'}")
     entries = {e: k for k, e in enumerate(kinds)}
     # Start: what an entry alone says; a word of a fixed lexicon is to outweigh the constant.
     says = {e: 6.0 if e in fixed else 1.0 for e in kinds}
@@ -184,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, int], np.ndarray]
     votes = np.zeros((len(found), len(voters)))
     for k, own in enumerate(found):
         votes[k, voter_of[own]] = 1
+    votes = votes[:, votes.any(axis=0)]  # a voter that never fires on the sample says nothing of it
     posterior, _, _ = label_model(votes, given)
     return entries, linear(found, posterior, start)
 

@@ -489,6 +489,30 @@ def test_license_scan_of_names_and_texts(spark):
     assert {r["doc_id"]: r["labels"] for r in licenses.op10(docs).collect()} == dict(enumerate(texts.values()))
 
 
+def test_label_model_finds_accuracies():
+    """Against the truth behind noisy labels, and one step against the formulas spelled out."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.3
+    fires = np.array([[0.02, 0.7], [0.1, 0.6], [0.01, 0.3], [0.3, 0.35], [0.05, 0.5]])  # on other rows, on toxic ones
+    votes = (rng.random((4000, 5)) < np.where(truth[:, None], fires[:, 1], fires[:, 0])).astype(float)
+    labels = np.where(rng.random(4000) < 0.03, ~truth, truth).astype(int)
+    posterior, rates, _ = toxicity.label_model(votes, labels)
+    assert np.abs(rates - fires.T).max() < 0.05
+    wrong = labels != truth
+    assert ((posterior >= 0.5) != truth).mean() < 0.85 * wrong.mean()  # better than the labels themselves
+    trust = np.where(labels == 1, toxicity.LABEL_TRUST, 1 - toxicity.LABEL_TRUST)
+    one, first, related = toxicity.label_model(votes[:50], labels[:50], rounds=1)
+    for c, weight in ((0, 1 - trust[:50]), (1, trust[:50])):
+        assert np.allclose(first[c], [(sum(w * v for w, v in zip(weight, votes[:50, j], strict=True)) + 0.5) / (weight.sum() + 1) for j in range(5)])
+    prior = trust[:50].mean()
+    for k in range(50):
+        odds = np.log(prior / (1 - prior)) + np.log(trust[k] / (1 - trust[k]))
+        for j in range(5):
+            say = 1 / max(1.0, sum(max(0.0, x) for x in related[j]))
+            odds += say * (np.log(first[1, j] / first[0, j]) if votes[k, j] else np.log((1 - first[1, j]) / (1 - first[0, j])))
+        assert abs(one[k] - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))) < 1e-9
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(5)
     rows, labels = [], []

@@ -208,3 +208,43 @@ def test_entry_stands_without_the_text_operators():
 
     code = "import sys; sys.modules['rulesmith.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'xsupp' in q and not any(k.startswith('op') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+
+
+def test_samples(spark):
+    node = "lhs array<string>, rhs string, added string, candidates array<string>"
+    first = spark.createDataFrame([(["a"], "y", "a", ["b", "c"]), (["b"], "y", "b", ["c"]), (["c"], "y", "c", []), (["a"], "z", "a", ["b", "c"])], node)
+    assert all(r["predecessors"] == [""] for r in samples.created(first).collect())
+    second = spark.createDataFrame([(["a", "b"], "y", "b", ["c"]), (["a", "c"], "y", "c", []), (["b", "c"], "z", "c", [])], node)
+    made = {(tuple(r["lhs"]), r["rhs"]): r["predecessors"] for r in samples.created(second, first, 3).collect()}
+    assert made[("a", "b"), "y"] == ["a"]  # only a had b as a candidate
+    assert made[("a", "c"), "y"] == ["a", "b"] and made[("b", "c"), "z"] == ["b", "a"]
+    assert samples.created(second, first, 1).where("size(predecessors) <> 1").count() == 0
+    hit = {(tuple(r["lhs"]), r["rhs"]): r["covered"] for r in samples.covered(second, first).collect()}
+    assert hit == {(("a", "b"), "y"): True, (("a", "c"), "y"): True, (("b", "c"), "z"): False}
+    kind = "lhs array<string>, rhs string, candidates array<string>, predecessors array<string>, max_conf double, cdf array<long>"
+    a = spark.createDataFrame([(["a"], "y", ["b"], ["p", "q"], 0.4, [3, 1]), (["b"], "y", ["c"], ["p"], 0.2, [1, 0]), (["d"], "y", [], ["p"], 0.1, [1, 1])], kind)
+    b = spark.createDataFrame([(["a"], "y", ["c"], ["q", "r"], 0.7, [1, 1]), (["b"], "y", ["c"], ["x"], 0.1, [2, 0]), (["d"], "y", [], ["p"], 0.3, [0, 0]), (["e"], "y", ["a"], ["s"], 0.9, [5, 5])], kind)
+    got = {r["lhs"][0]: (r["candidates"], r["predecessors"], r["max_conf"], r["cdf"], r["overlap"]) for r in samples.merged(a, b).collect()}
+    assert got == {"a": (["b", "c"], ["p", "q", "r"], 0.7, [4, 2], "part"), "b": (["c"], ["p", "x"], 0.2, [3, 0], "none"), "d": ([], ["p"], 0.3, [1, 1], "all"), "e": (["a"], ["s"], 0.9, [5, 5], None)}
+    assert [tuple(r) for r in samples.neighbours(a, 0.2).orderBy("lhs").collect()] == [(["a", "b"], "y"), (["b", "c"], "y")]
+
+
+def test_rules_that_cannot_be_counted(spark):
+    df = spark.createDataFrame(ROWS, "a string, b string, c int, d string")
+    with pytest.raises(ValueError, match="no model"):
+        measure.evaluate(parse_rule("r(t0) ^ r(t1) ^ ML('other', t0.a, t1.a) -> t0.b=t1.b"), {"r": df})
+    found = measure.evaluate(parse_rule("r(t0) ^ r(t1) ^ t0.a=t1.a -> t0.d=t1.d"), {"r": df}).first()
+    assert (found["row_size"], found["xsupp"], found["xysupp"]) == (len(ROWS) ** 2, _pairs(ROWS, [0]), _pairs(ROWS, [0, 3]))
+    assert measure.evaluate(parse_rule("r(t0) ^ r(t1) ^ t0.c<t1.c -> t0.d=t1.d"), {"r": df.limit(0)}).first()["row_size"] == 0
+
+
+def test_trees_weigh_gaps_and_see_every_value(spark):
+    # One value far out: intervals of equal width would hold all others in one.
+    rows = [(float(k), None if k % 5 == 4 else float(k % 3), "u" if k < 37 else "v") for k in range(100)] + [(1e9, 1.0, "v")]
+    leaves = trees.grow(spark.createDataFrame(rows, "x double, z double, y string"), ["x", "z"], "y", max_depth=1)
+    assert sorted((c, op, v) for leaf in leaves for c, op, v in leaf.cuts) == [("x", "<", 36.5), ("x", ">=", 36.5)]
+    gaps = [(None if k % 4 == 0 else float(k % 2), "u" if k % 2 else "v") for k in range(80)]
+    leaves = trees.grow(spark.createDataFrame(gaps, "x double, y string"), ["x"], "y", max_depth=1)
+    assert abs(sum(leaf.weight for leaf in leaves) - 80) < 1e-6 and all(leaf.weight == sum(leaf.counts.values()) for leaf in leaves)
+    best = trees.grow(spark.createDataFrame(rows, "x double, z double, y string"), ["x", "z"], "y", max_depth=5, max_leaves=2)
+    assert len(best) == 2

@@ -82,6 +82,12 @@ def avc_binned(df: DataFrame, column: str, label: str, bins: int = SMALL) -> Dat
     return df.where(F.col(column).isNotNull()).groupBy(place.alias("bin"), F.col(label).cast("string").alias("label")).agg(F.count("*").alias("w"))
 
 
+def avc_within(df: DataFrame, column: str, label: str, low: float, high: float) -> DataFrame:
+    """(val, label, w): the exact class histogram of the values from low to under high, as of one interval of avc_binned."""
+    x = F.col(column).cast("double")
+    return avc(df.where((x >= low) & (x < high)), column, label)
+
+
 def _xlogx(c: Column) -> Column:
     return F.when(c > 0, c * F.log(F.greatest(c, F.lit(1e-300)))).otherwise(0.0)
 
@@ -122,12 +128,24 @@ def value_gains(df: DataFrame, column: str, label: str) -> DataFrame:
     return own.crossJoin(whole).select("val", (gain / F.col("n")).alias("gain"))  # one row
 
 
-def gini_index(df: DataFrame, x: Column, y: Column) -> DataFrame:
-    """One row: the 2 x 2 counts of two conditions and the Gini impurity of x given y."""
-    n = df.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in {"xy": x & y, "nxy": ~x & y, "xny": x & ~y, "nxny": ~x & ~y}.items()])
+def _with_gini(counts: DataFrame) -> DataFrame:
+    """counts (xy, nxy, xny, nxny) with the Gini impurity of x given y."""
     yes, no = F.col("xy") + F.col("nxy"), F.col("xny") + F.col("nxny")
     part = lambda a, b: F.when(a + b > 0, 1 - F.pow(a / F.nullif(a + b, F.lit(0)), 2) - F.pow(b / F.nullif(a + b, F.lit(0)), 2)).otherwise(0.0)
-    return n.withColumn("gini", no / (yes + no) * part(F.col("xny"), F.col("nxny")) + yes / (yes + no) * part(F.col("xy"), F.col("nxy")))
+    return counts.withColumn("gini", no / (yes + no) * part(F.col("xny"), F.col("nxny")) + yes / (yes + no) * part(F.col("xy"), F.col("nxy")))
+
+
+def gini_index(df: DataFrame, x: Column, y: Column) -> DataFrame:
+    """One row: the 2 x 2 counts of two conditions and the Gini impurity of x given y."""
+    return _with_gini(df.agg(*[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in {"xy": x & y, "nxy": ~x & y, "xny": x & ~y, "nxny": ~x & ~y}.items()]))
+
+
+def gini_best(df: DataFrame, column: str, y: Column, k: int) -> DataFrame:
+    """(value, gini): the k values of a column of least impurity given y, from one scan; ties (to nine places) by value. Gaps are left out."""
+    held = df.where(not_blank(F.col(column)) & y.isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("x"), F.count_if(y).alias("xy"))
+    whole = held.agg(F.sum("x").alias("n"), F.sum("xy").alias("y"))
+    counts = held.crossJoin(whole).select("value", "xy", (F.col("y") - F.col("xy")).alias("nxy"), (F.col("x") - F.col("xy")).alias("xny"), (F.col("n") - F.col("y") - F.col("x") + F.col("xy")).alias("nxny"))  # one row
+    return _with_gini(counts).select("value", F.round("gini", 9).alias("gini")).orderBy("gini", "value").limit(k)
 
 
 def one_hot(df: DataFrame, enums: dict[str, list[str]], numbers: list[str], label: str) -> DataFrame:

@@ -155,12 +155,6 @@ def _(spark, sf):
     return lattice.as_frame(spark, lattice.mine(orders, SUPPORT, 0.25, state=before, max_level=2).minimal).select("lhs", "rhs", "support", "confidence")
 
 
-@query("lineitem_rules")
-def _(spark, sf):
-    state = lattice.mine(_t(spark, sf, "lineitem"), 1e-6, 0.5, ["l_discount", "l_linenumber", "l_linestatus", "l_quantity", "l_returnflag", "l_tax"], max_level=3)
-    return lattice.as_frame(spark, state.minimal)
-
-
 @query("const_filter_rule", MEASURE_SQL.format(t="(SELECT * FROM part WHERE p_size >= 25)", pairs=PAIR_SQL.format(t="(SELECT * FROM part WHERE p_size >= 25)", y="p_type", on="l.p_brand = r.p_brand AND l.p_size = r.p_size")))
 def _(spark, sf):
     part = _t(spark, sf, "part")
@@ -233,13 +227,6 @@ def _(spark, sf):
     return stats.one_hot(_t(spark, sf, "part"), {"p_brand": ["Brand#1", "Brand#2"]}, ["p_size", "p_retailprice"], "p_type").withColumn("y", F.col("y").cast("int"))
 
 
-@query("tree_rules")
-def _(spark, sf):
-    items = _t(spark, sf, "lineitem")
-    leaves = trees.grow(items, ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice"], "l_returnflag")
-    return spark.createDataFrame(trees.tree_rules(leaves, "l_returnflag", items.count(), 1e-5, 0.3), "ree string, support double, confidence double")
-
-
 # --- correlation ---
 
 
@@ -318,15 +305,6 @@ def _(spark, sf):
     return QUERIES["rule_coverage"](spark, sf).agg(F.round(F.avg(F.col("covered").cast("int")), 9).alias("recall"))
 
 
-@query("task_latest", "SELECT conv_id AS task, turn AS at, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) = 1")
-def _(spark, sf):
-    # The registry's "last row of a task" over the table of the test data that has the same shape.
-    last = F.max(F.struct(F.col("turn").alias("at"), (-F.xxhash64("role") * 0).alias("z"))).alias("m")
-    rows = _t(spark, sf, "conversations")
-    top = rows.groupBy(F.col("conv_id").alias("task")).agg(last)
-    return rows.join(top, (F.col("conv_id") == F.col("task")) & (F.col("turn") == F.col("m.at"))).groupBy("task", F.col("turn").alias("at")).agg(F.min("role").alias("role"))
-
-
 @query("sample_first_n", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 1000")
 def _(spark, sf):
     from rulesmith.sources.store import first_rows
@@ -384,9 +362,7 @@ GINI_SQL = "SELECT '{v}' AS value, round(y / n * (1 - pow(xy / y, 2) - pow((y -
 
 @query("gini_top", "SELECT * FROM (" + " UNION ALL ".join(GINI_SQL.format(v=v) for v in "ANR") + ") q ORDER BY gini, value LIMIT 2")
 def _(spark, sf):
-    rows = _t(spark, sf, "lineitem")
-    made = [_rounded(stats.gini_index(rows, F.col("l_returnflag") == v, F.col("l_linestatus") == "O"), "gini").select(F.lit(v).alias("value"), "gini") for v in "ANR"]
-    return made[0].unionByName(made[1]).unionByName(made[2]).orderBy("gini", "value").limit(2)
+    return stats.gini_best(_t(spark, sf, "lineitem"), "l_returnflag", F.col("l_linestatus") == "O", 2)
 
 
 @query("greedy_clusters")
@@ -435,14 +411,6 @@ def _(spark, sf):
     return measure.evaluate(parse_rule(RULE_COLUMNS), {"lineitem": _t(spark, sf, "lineitem")})
 
 
-@query("table_rules")
-def _(spark, sf):
-    tables = {t: _t(spark, sf, t) for t in ("orders", "customer", "nation")}
-    edges = [("orders", "o_custkey", "customer", "c_custkey"), ("customer", "c_nationkey", "nation", "n_nationkey")]
-    found = tasks.table_rules(tables, edges, "orders", ["o_orderstatus", "o_orderpriority"], {"orders": ["o_orderstatus", "o_orderpriority"], "customer": ["c_mktsegment"], "nation": ["n_regionkey"]}, 1e-4, 0.3)
-    return spark.createDataFrame(found, "ree string, support double, confidence double")
-
-
 @query("all_tree_rules")
 def _(spark, sf):
     return spark.createDataFrame(tasks.all_tree_rules(_t(spark, sf, "orders"), 1e-5, 0.3), "ree string, support double, confidence double")

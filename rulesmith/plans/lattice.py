@@ -10,7 +10,7 @@ from bisect import bisect_right
 from dataclasses import dataclass, field
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulesmith.operators.measure import squares
@@ -132,6 +132,41 @@ def coverage(batch: DataFrame, found: DataFrame) -> DataFrame:
     return batch.select("ree").join(met.select(F.col("ree_a").alias("ree"), F.lit(True).alias("hit")).distinct(), "ree", "left").select("ree", F.coalesce("hit", F.lit(False)).alias("covered"))
 
 
+def sides(frame: DataFrame) -> DataFrame:
+    """(ree, lhs, rhs) of rule texts `a ^ b -> c`: the premises in order, joined by commas."""
+    part = F.split("ree", "->")
+    premises = F.array_sort(F.transform(F.split(part[0], r"\^"), lambda x: F.trim(x)))
+    return frame.select("ree", F.array_join(premises, ",").alias("lhs"), F.trim(part[1]).alias("rhs"))
+
+
+def coverage_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, rules, covered): the distinct rules of a, how many of them b covers, and the other way. a, b: frames of rule texts (ree), of any tasks."""
+    a, b = sides(a.select("ree").distinct()), sides(b.select("ree").distinct())
+    one = lambda x, y, side: coverage(x, y).agg(F.count("*").alias("rules"), F.count_if("covered").alias("covered")).select(F.lit(side).alias("side"), "rules", "covered")
+    return one(a, b, "a").unionByName(one(b, a, "b"))
+
+
+# --- candidates ---
+
+
+def ordered_candidates(supports: DataFrame) -> DataFrame:
+    """predicate_support() with place: larger support first, of equal ones the later name. One row a column."""
+    return supports.withColumn("place", F.row_number().over(Window.orderBy(F.desc("support"), F.desc("col"))))
+
+
+def without_keys(columns: list[str], table: str, edges) -> list[str]:
+    """columns of table that no edge (table, column, table, column) joins by: keys make no right sides."""
+    keys = {end for a, x, b, y in edges for end in ((a, x), (b, y))}
+    return [c for c in columns if (table, c) not in keys]
+
+
+def related(candidates, node) -> tuple[list, list]:
+    """(related, others): candidate predicates that touch a variable of the node's predicates, and the rest; a node without any is related to all."""
+    bound = {t for p in node for t in p.tids}
+    near = [p for p in candidates if not bound or p.tids & bound]
+    return near, [p for p in candidates if p not in near]
+
+
 def cdf_hist(frame: DataFrame) -> DataFrame:
     """(cut, n): rules with at least that confidence, from one aggregation."""
     made = frame.agg(*[F.sum((F.col("confidence") >= c).cast("long")).alias(f"n{k}") for k, c in enumerate(CUTS)])

@@ -17,7 +17,7 @@ from rulesmith.functions.predicates import Predicate, Ref, Rule, not_blank
 from rulesmith.operators import corr, stats
 from rulesmith.operators.measure import evaluate
 from rulesmith.plans import lattice, trees
-from rulesmith.sources.store import Store
+from rulesmith.sources.store import Store, first_rows
 
 #: Values of a column that become one-hot columns of training rows, at most; the most frequent ones.
 HOT_VALUES = 50
@@ -59,27 +59,33 @@ def without(rules: DataFrame, abandoned: DataFrame) -> DataFrame:
 # --- several tables ---
 
 
+def path_of(tables, edges: list[tuple[str, str, str, str]], base: str, most: int = MAX_TABLES) -> tuple[dict[str, int], list[tuple[str, str, str, str]]]:
+    """(place of each table that edges reach from base, the joins on the way): `most` tables at most, nearer ones first."""
+    path, joins = {base: 0}, []
+    for _ in range(most - 1):
+        for a, ca, b, cb in edges:
+            for near, cn, far, cf in ((a, ca, b, cb), (b, cb, a, ca)):
+                if near in path and far not in path and far in tables and len(path) < most:
+                    path[far] = len(path)
+                    joins.append((near, cn, far, cf))
+    return path, joins
+
+
 def table_rules(tables: dict[str, DataFrame], edges: list[tuple[str, str, str, str]], base: str, targets: list[str], columns: dict[str, list[str]], support: float, confidence: float, max_premises: int = 2) -> list[tuple[str, float, float]]:
     """(rule, support, confidence) of minimal rules over base joined with its neighbours along edges.
 
     edges: (table, column, table, column), each at most once; paths from base hold MAX_TABLES tables at most. Every
     side of a rule is one wide table, so each candidate is counted by evaluate(). Premises are added one by one; a
-    candidate under the support, or one that is a rule, isn't grown.
+    candidate under the support, or one that is a rule, isn't grown. Columns that edges join by are no right sides.
     """
-    path, joins = {base: 0}, []
-    for _ in range(MAX_TABLES - 1):
-        for a, ca, b, cb in edges:
-            for near, cn, far, cf in ((a, ca, b, cb), (b, cb, a, ca)):
-                if near in path and far not in path and far in tables and len(path) < MAX_TABLES:
-                    path[far] = len(path)
-                    joins.append((near, cn, far, cf))
+    path, joins = path_of(tables, edges, base)
     atoms = [(t, 2 * k + side) for t, k in path.items() for side in (0, 1)]
     fixed = [Predicate(Ref(2 * path[n] + side, cn), "=", Ref(2 * path[f] + side, cf)) for n, cn, f, cf in joins for side in (0, 1)]
     keyed = {(n, c) for n, cn, f, cf in joins for n, c in ((n, cn), (f, cf))}
     same = lambda t, c: Predicate(Ref(2 * path[t], c), "=", Ref(2 * path[t] + 1, c))
     premises = sorted((same(t, c) for t in path for c in columns.get(t, []) if (t, c) not in keyed), key=str)
     out: list[tuple[str, float, float]] = []
-    for y in targets:
+    for y in lattice.without_keys(targets, base, edges):
         rhs, done = same(base, y), []
         for size in range(1, max_premises + 1):
             for lhs in combinations([p for p in premises if p != rhs], size):
@@ -124,6 +130,38 @@ def training_rows(df: DataFrame, label: str, top: int = 20) -> tuple[DataFrame,
     return rows, [*numbers, *hot]
 
 
+def connected_rows(tables: dict[str, DataFrame], edges: list[tuple[str, str, str, str]], base: str, columns: dict[str, list[str]], most: int = MAX_TABLES) -> DataFrame:
+    """Rows of base joined with the tables that edges reach, for training: the columns asked for, as `table__column`. Blank keys join nothing."""
+    path, joins = path_of(tables, edges, base, most)
+    used = {t: {*columns.get(t, [])} | {c for a, ca, b, cb in joins for n, c in ((a, ca), (b, cb)) if n == t} for t in path}
+    named = {t: tables[t].select(*[F.col(f"`{c}`").alias(f"{t}__{c}") for c in sorted(used[t])]) for t in path}
+    out = named[base]
+    for near, cn, far, cf in joins:
+        left, right = F.col(f"`{near}__{cn}`"), F.col(f"`{far}__{cf}`")
+        out = out.join(named[far], (left == right) & not_blank(left) & not_blank(right))
+    return out.select(*[F.col(f"`{t}__{c}`") for t in path for c in columns.get(t, [])])
+
+
+def with_expressions(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    """df with arithmetic expressions of its columns as further numbers to learn from."""
+    return df.select("*", *[F.expr(x).cast("double").alias(c) for c, x in expressions.items()])
+
+
+def training_sample(df: DataFrame, key: str, most: int = -1, shares: dict[int, float] | None = None) -> DataFrame:
+    """Rows that a tree learns from: the first `most` by key (-1: all); with shares (least number of rows: share), the share that the
+    largest number reached by the table gives, and all rows of a table that reaches none."""
+    if not shares:
+        return first_rows(df, key, most)
+    n = df.count()
+    return first_rows(df, key, share=next((shares[k] for k in sorted(shares, reverse=True) if n >= k), 1.0))
+
+
+def seeded_sample(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """A share of the rows, about, chosen by a hash of seed and key: the same rows in every run and on every partitioning; no shuffle."""
+    drawn = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8)
+    return df.where((F.conv(drawn, 16, 10).cast("long") < int(share * (1 << 32))) & F.col(key).isNotNull())
+
+
 def all_tree_rules(df: DataFrame, support: float, confidence: float, targets: list[str] | None = None) -> list[tuple[str, float, float]]:
     """Tree rules for every target that fits: booleans, and strings of few values."""
     out = []

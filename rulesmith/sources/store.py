@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,11 @@ def read_derived(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def in_batches(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A scan with a callback: run gets every Arrow batch where its partition is; nothing passes through the driver."""
+    return df.mapInPandas(lambda batches: map(run, batches), schema)
+
+
 class Store:
     """Tasks and rules as Parquet tables under a root folder; names are ids, a task is deleted by a later mark."""
 

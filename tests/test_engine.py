@@ -12,9 +12,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rulesmith.functions.dates import millis, parsed
 from rulesmith.functions.predicates import is_connected, ordered, parse_predicate, parse_rule
 from rulesmith.operators import corr, measure, stats
-from rulesmith.plans import catalogue, lattice, rules, samples, tasks, trees  # noqa: F401
+from rulesmith.plans import catalogue, lattice, rules, samples, tasks, training, trees  # noqa: F401
 from rulesmith.sources.store import Store, first_rows, read_csv, read_vectors
 
 
@@ -248,3 +249,40 @@ def test_trees_weigh_gaps_and_see_every_value(spark):
     assert abs(sum(leaf.weight for leaf in leaves) - 80) < 1e-6 and all(leaf.weight == sum(leaf.counts.values()) for leaf in leaves)
     best = trees.grow(spark.createDataFrame(rows, "x double, z double, y string"), ["x", "z"], "y", max_depth=5, max_leaves=2)
     assert len(best) == 2
+
+
+def test_candidates_and_sides(spark):
+    near, far = parse_predicate("t0.a=t1.a"), parse_predicate("t2.b=t3.b")
+    assert lattice.related([near, far], [parse_predicate("t0.c=t1.c")]) == ([near], [far])
+    assert lattice.related([near, far], []) == ([near, far], [])
+    assert lattice.without_keys(["a", "b", "k"], "t", [("t", "k", "u", "id"), ("u", "b", "v", "id")]) == ["a", "b"]
+    rows = spark.createDataFrame([("b ^ a -> c",), ("x->y",), (None,)], "ree string")
+    assert sorted(lattice.sides(rows.na.drop()).collect()) == [("b ^ a -> c", "a,b", "c"), ("x->y", "x", "y")]
+    one, two = (spark.createDataFrame([(x,) for x in texts], "ree string") for texts in (["a -> c", "b -> c"], ["b ^ a -> c", "b ^ a -> c", "d -> c"]))
+    assert sorted(map(tuple, lattice.coverage_both(one, two).collect())) == [("a", 2, 0), ("b", 2, 1)]
+
+
+def test_training_rows(spark):
+    t = spark.createDataFrame([(1, "x", 5.0), (2, "", 6.0), (3, None, 7.0), (4, "y", None)], "id int, k string, v double")
+    u = spark.createDataFrame([("x", 1), ("", 2), (None, 3), ("x", 4)], "k string, w int")
+    made = tasks.connected_rows({"t": t, "u": u}, [("t", "k", "u", "k")], "t", {"t": ["id"], "u": ["w"]})
+    assert made.columns == ["t__id", "u__w"] and sorted(map(tuple, made.collect())) == [(1, 1), (1, 4)]
+    assert [r["z"] for r in tasks.with_expressions(t, {"z": "v * 2"}).orderBy("id").collect()] == [10.0, 12.0, 14.0, None]
+    size = lambda **options: tasks.training_sample(t, "id", **options).count()
+    assert (size(), size(most=3), size(shares={2: 0.5, 100: 0.1}), size(shares={100: 0.1})) == (4, 3, 2, 4)
+    many = spark.range(4000).withColumnRenamed("id", "k")
+    some = {r[0] for r in tasks.seeded_sample(many, "k", 0.25, 3).collect()}
+    assert some == {r[0] for r in tasks.seeded_sample(many.repartition(7), "k", 0.25, 3).collect()} and 850 < len(some) < 1150
+    assert tasks.seeded_sample(t, "k", 1.0, 3).count() == 3 and tasks.seeded_sample(t, "k", 0.0, 3).count() == 0
+
+
+def test_times(spark):
+    rows = spark.createDataFrame([("1970-01-02",), ("1999-12-31T23:59:59.250",), ("1969-12-31",), ("no day",), ("",), (None,)], "s string")
+    got = [r[0] for r in rows.select(millis(parsed(F.col("s")))).collect()]
+    assert got == [86_400_000, 946_684_799_250, -86_400_000, None, None, None]
+
+
+def test_gini_best_is_gini_index(spark):
+    df = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("b", True), ("c", False), (None, True), ("", False)], "x string, y boolean").where("x <> ''")
+    best = {r["value"]: r["gini"] for r in stats.gini_best(df, "x", F.col("y"), 9).collect()}
+    assert best == {v: pytest.approx(stats.gini_index(df, F.col("x") == v, F.col("y")).first()["gini"], abs=1e-9) for v in "abc"}

@@ -297,3 +297,10 @@ def _compares_all(df):
 @pytest.mark.parametrize("name", ["fk_join_rule_2t", "fk_join_rule_3t", "fk_only_rule", "rule_rows"])
 def test_equalities_are_keys_of_joins(spark, name):
     assert not _compares_all(catalogue.QUERIES[name](spark, SF))
+
+
+def test_candidates_of_table_rules_join_by_keys(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tasks, "evaluate", lambda rule, tables: seen.append(measure.evaluate(rule, tables)) or seen[-1])
+    assert catalogue.QUERIES["table_rules"](spark, SF).count() and len(seen) > 5
+    assert not any(map(_compares_all, seen))

@@ -306,7 +306,7 @@ def test_candidates_of_table_rules_join_by_keys(spark, monkeypatch):
     assert not any(map(_compares_all, seen))
 
 
-@pytest.mark.parametrize("name", ["blocking_ids"])
+@pytest.mark.parametrize("name", ["blocking_ids", "prefix_tokens"])
 def test_tokens_are_not_broadcast(spark, name):
     plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "BuildLeft" not in plan  # the order of the tokens is on the right

@@ -378,3 +378,11 @@ def test_choice_of_columns_takes_all_rows(spark):
     best = {max("abcdefghijkl", key=lambda c: abs(f(made[c], made["y"]))) for f in (lambda a, b: a.corr(b), lambda a, b: a.rank().corr(b.rank()), lambda a, b: corr._tau(a.to_numpy(), b.to_numpy()))}
     got = corr.chosen_columns(corr.combined(spark.createDataFrame(made), list("abcdefghijkl"), "y"), 1)
     assert {r["col"] for r in got.collect()} == best
+
+
+def test_order_of_columns_takes_all_rows(spark):
+    large = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{large}/part.parquet'")
+    want = dict(con.execute(f"SELECT col, place FROM ({catalogue.ORACLE_SQL['sorted_columns']}) q").fetchall())
+    assert dict(map(tuple, catalogue.QUERIES["sorted_columns"](spark, large).collect())) == want

@@ -23,6 +23,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +42,25 @@ RAW = "doc_id long, no_id boolean, start long, length long, doc_tokens long, ids
 PIECES = "doc_id long, no_id boolean, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
-#: White space in the sense of the vocabulary's pattern, and from what length on a run of it is cut out by hand.
-SPACES, LONG_RUN = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 10_000
-_long_run = re.compile(f"[{SPACES}]{{{LONG_RUN},}}")
+#: White space in the sense of the vocabulary's pattern, for Python's and for Arrow's regular expressions.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES_RE2 = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: From what length on a run of white space is cut out of texts that the look ahead takes.
+LONG_RUN = 10_000
+_runs, _long_run = (re.compile(f"[{SPACES}]{{{n},}}") for n in (2, LONG_RUN))
+#: Texts with a run of white space for each so many characters, or more, are left to the look ahead.
+APART = 64
+#: How the pattern takes white space: all of a run but its last character, which belongs to the word after it.
+TAIL, PLAIN_TAIL = r"|\s+(?!\S)|\s+", r"|\s+"
 
 
 class Encoder:
     """Ids of texts as the byte-level BPE in a tokenizers file gives them, added tokens included, without its post-processing.
 
-    The merging is done by another library from the same vocabulary, which is four times as fast; its matcher fails on
-    very long white space, so long runs are cut out here by the pattern's own rule: all of a run is one piece but for its last
-    character, which belongs to the word after it.
+    The merging is done by another library from the same vocabulary, which is four times as fast, and about twice that without the
+    pattern's look ahead, which only says that of a run of white space the last character belongs to the word after it. So texts are
+    cut before that character, and what is left has runs that are one piece. Where runs are many, the look ahead costs less than the
+    cuts; its matcher fails on very long white space, so long runs are cut out there too.
     """
 
     def __init__(self, path: str):
@@ -64,23 +74,45 @@ class Encoder:
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.added = {x["content"]: x["id"] for x in said["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in word): k for word, k in said["model"]["vocab"].items() if word not in self.added}
-        self._core = tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        if not public_tokenizers.PATTERN.endswith(TAIL):
+            raise ValueError(f"the pattern takes white space in another way: {public_tokenizers.PATTERN}")
+        # None of the special tokens is allowed below; without any, the library would stop at each character.
+        special = self.added or {"<|none|>": len(ranks)}
+        core = lambda pattern: tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)._core_bpe
+        self._core, self._looking = core(public_tokenizers.PATTERN.removesuffix(TAIL) + PLAIN_TAIL), core(public_tokenizers.PATTERN)
         self._split = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
 
-    def _plain(self, text: str) -> list[int]:
-        if len(text) < LONG_RUN:
-            return self._core.encode_ordinary(text)
-        at, out = 0, []
-        for run in _long_run.finditer(text):
-            out += self._core.encode_ordinary(text[at : run.start()])
-            at = run.end() - (run.end() < len(text))
-            out += self._core.encode_single_piece(text[run.start() : at].encode())
-        return out + self._core.encode_ordinary(text[at:])
+    def _plain(self, text: str, spaced: bool) -> list:
+        """Buffers of ids."""
+        runs, crowded = [], False
+        for run in _runs.finditer(text) if spaced else ():
+            runs.append(run.span())
+            if crowded := len(runs) * APART > len(text):
+                runs = [run.span() for run in _long_run.finditer(text)] if len(text) >= LONG_RUN else []
+                break
+        rest, at, out = self._looking if crowded else self._core, 0, []
+        for start, end in runs:
+            if crowded:
+                out.append(rest.encode_to_tiktoken_buffer(text[at:start], set()))
+                at = start
+            end -= end < len(text)
+            out.append(self._core.encode_to_tiktoken_buffer(text[at:end], set()))
+            at = end
+        return [*out, rest.encode_to_tiktoken_buffer(text[at:], set())]
+
+    def raw(self, text: str, spaced: bool = True) -> bytes:
+        """Ids as little-endian 32-bit numbers. spaced: whether the text may hold white space next to white space."""
+        if self._split is None or not any(x in text for x in self.added):
+            return b"".join(self._plain(text, spaced))
+        parts = enumerate(self._split.split(text))
+        return b"".join(x for k, part in parts for x in ([self.added[part].to_bytes(4, "little")] if k % 2 else self._plain(part, spaced)))
+
+    def raws(self, texts: list[str]) -> Iterator[bytes]:
+        """raw() of each text."""
+        return map(self.raw, texts, pc.match_substring_regex(pa.array(texts, pa.large_string()), f"[{SPACES_RE2}]{{2}}").to_pylist())
 
     def __call__(self, text: str) -> list[int]:
-        if self._split is None or not any(x in text for x in self.added):
-            return self._plain(text)
-        return [i for k, x in enumerate(self._split.split(text)) for i in ([self.added[x]] if k % 2 else self._plain(x))]
+        return np.frombuffer(self.raw(text), dtype="<u4").tolist()
 
 
 @lru_cache(maxsize=2)
@@ -98,19 +130,20 @@ def _cut(batches: Iterator[pd.DataFrame], path: str, window: int) -> Iterator[pd
     """Token ids of each document as pieces; whole windows already have their sequence, others -1."""
     columns = [c.split()[0] for c in RAW.split(", ")]
     encode = encoder(path)
+    end = END_ID.to_bytes(4, "little")
     context = TaskContext.get()
     sequence = (context.partitionId() if context else 0) << 33
     for batch in batches:
         rows, size = [], 0
-        for doc, no_id, text in zip(batch["doc_id"], batch["no_id"], batch["text"], strict=True):
-            ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
-            n = len(ids)
+        for doc, no_id, ids in zip(batch["doc_id"], batch["no_id"], encode.raws([x or "" for x in batch["text"]]), strict=True):
+            ids += end
+            n = len(ids) // 4
             whole = n - n % window
             for at in range(0, whole, window):
-                rows.append((doc, no_id, at, window, n, ids[at : at + window].tobytes(), sequence * 2))
+                rows.append((doc, no_id, at, window, n, ids[4 * at : 4 * (at + window)], sequence * 2))
                 sequence += 1
             if whole < n:
-                rows.append((doc, no_id, whole, n - whole, n, ids[whole:].tobytes(), -1))
+                rows.append((doc, no_id, whole, n - whole, n, ids[4 * whole :], -1))
             size += n
             if size > 2_000_000:
                 yield pd.DataFrame(rows, columns=columns)

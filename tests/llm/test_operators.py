@@ -88,6 +88,28 @@ def test_ids_are_those_of_the_vocabulary():
         assert own(x) == t.encode(x, add_special_tokens=False).ids, x
 
 
+@pytest.mark.parametrize("apart", [0, packing.APART, 10**9])
+def test_cuts_at_white_space_keep_the_ids(monkeypatch, apart):
+    """With cuts at all runs of white space, at those of texts with few, and with none: all by the look ahead."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "APART", apart)
+    path = packing.default_vocabulary()
+    t, own, rng = Tokenizer.from_file(path), packing.encoder(path), np.random.default_rng(7)
+    signs = [*" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u2000\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff", *"aé日1٣'s.", "<|endoftext|>", "'ll", *"  \n\n"]
+    texts = ["".join(signs[k] for k in rng.integers(0, len(signs), rng.integers(0, 12))) for _ in range(3000)]
+    long = " " * packing.LONG_RUN
+    texts += ["", PROSE.replace(". ", ".\n\n"), "if x:\n    y = 1\n\n" * 50, f"{'a  b ' * 999}{long}c  {long}<|endoftext|>{long}", f"{PROSE}{long}\n1{long}"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.raws(texts)] == [own(x) for x in texts] == want
+
+
+def test_plain_texts_need_no_look_ahead(monkeypatch):
+    own = packing.Encoder(packing.default_vocabulary())
+    monkeypatch.setattr(own, "_looking", None)
+    assert own(PROSE) and own("One\n\n" + PROSE) and list(own.raws([PROSE, ""]))[1] == b""
+
+
 def test_texts_of_a_million_signs(spark):
     texts = [" " * 10**6, "\n" * 10**6, "a" * 10**6, "lorem" * 200_000]
     rows = [(k, x, "s", "en", "clash", k) for k, x in enumerate(texts)]
